@@ -290,13 +290,12 @@ def cover(lists: list[np.ndarray], span: int) -> tuple[int, int] | None:
     for i in order:
         have[which[i]] += 1
         missing -= have[which[i]] == 1
-        while missing == 0:
-            j = order[left]
-            if place[i] - place[j] < span:
-                return int(place[j]), int(place[i] - place[j] + 1)
-            have[which[j]] -= 1
-            missing += have[which[j]] == 0
+        while missing == 0 and have[which[order[left]]] > 1:
+            have[which[order[left]]] -= 1
             left += 1
+        j = order[left]
+        if missing == 0 and place[i] - place[j] < span:
+            return int(place[j]), int(place[i] - place[j] + 1)
     return None
 
 

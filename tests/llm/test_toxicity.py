@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as T
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_held_out(spark):
