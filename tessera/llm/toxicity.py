@@ -3,7 +3,8 @@
 The kernel of two words sums, over all triples of letters that both hold as subsequences, the product of decay^span of
 their occurrences (spans up to `SPAN` letters), so that gaps and inserted characters lower a match but don't end it. A
 text's score is that of its worst word (a bag with one guilty instance), so long texts don't dilute an insult. Letters
-are lower-cased, punctuation is skipped, and runs of single letters set apart by spaces are read as one word.
+are lower-cased, punctuation is skipped, runs of single letters set apart by spaces are read as one word, and every word
+has a mark at its begin and its end, which count as letters.
 
 Training takes at most `MAX_TRAIN` labelled texts of either class on the driver (a documented bound): the guilty word of
 each toxic text starts as the one that most toxic and no clean texts hold, and is chosen anew by the model in a few
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.arrow import chunks, texts
 
 LETTERS = 80
+FIRST, LAST = 78, 79
 SPAN = 6
 DECAY = 0.7
 MAX_TRAIN = 3000
@@ -94,7 +96,14 @@ def words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin[1:] &= space[:-1] | (doc[1:] != doc[:-1])
     letters = np.flatnonzero(~space)
     starts = np.searchsorted(letters, np.flatnonzero(begin))
-    return c[letters].astype(np.int64) - 2, starts, doc[np.flatnonzero(begin)]
+    # every word begins and ends with a mark, so that the kernel sees where in a word letters stand
+    n, lens = len(letters), np.diff(np.append(starts, len(letters)))
+    out = np.full(n + 2 * len(starts), LAST, np.int64)
+    rank = np.repeat(np.arange(len(starts)), lens)
+    out[np.arange(n) + 2 * rank + 1] = c[letters].astype(np.int64) - 2
+    starts = starts + 2 * np.arange(len(starts))
+    out[starts] = FIRST
+    return out, starts, doc[np.flatnonzero(begin)]
 
 
 def triples(letters: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -183,6 +192,7 @@ def train(samples: list[tuple[str, int]], seed: int = 7) -> dict:
     place = {w: i for i, w in enumerate(vocabulary)}
     f = Words(vocabulary)
     clean = np.array([in_neg[w] > 0 for w in vocabulary])
+    held = np.array([in_neg[w] or in_pos[w] for w in vocabulary], float)  # texts that hold a word
     bag_words = [np.array(sorted(place[w] for w in b)) for b in pos]
     odds = np.array([np.log((in_pos[w] + 0.1) / (in_neg[w] * len(pos) / len(neg) + 0.5)) for w in vocabulary])
     guilty = np.full(len(vocabulary), False)
@@ -201,7 +211,7 @@ def train(samples: list[tuple[str, int]], seed: int = 7) -> dict:
     weights, bias = None, 0.0
     for k in range(ROUNDS):
         bad = np.flatnonzero(guilty)
-        weights, bias = _machine(f, bad, pool, rng)
+        weights, bias = _machine(f, bad, pool, held, rng)
         s = f.score(weights) + bias
         hard = negatives[np.argsort(-s[negatives])[:1000]]
         pool = np.union1d(pool, hard)
@@ -221,19 +231,18 @@ def train(samples: list[tuple[str, int]], seed: int = 7) -> dict:
     return {"weights": weights.astype(np.float32), "slope": slope, "offset": slope * bias + offset}
 
 
-def _machine(f: Features, bad: np.ndarray, good: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+def _machine(f: Words, bad: np.ndarray, good: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """Landmarks, Nystroem features, and a linear machine with squared hinge loss; folded into triple weights."""
     r, guilty = f.rows(np.concatenate([bad, good])), f.rows(bad)
     marks = np.concatenate([_spread(guilty, LANDMARKS * 2 // 3, rng), len(bad) + rng.choice(len(good), min(LANDMARKS // 3, len(good)), replace=False)])
-    table = np.stack([r.weights(i) for i in marks])
-    k = np.stack([r.apply(t) for t in table], axis=1)
+    k = np.stack([r.apply(r.weights(i)) for i in marks], axis=1)
     km = k[marks]
     val, vec = np.linalg.eigh((km + km.T) / 2)
     ok = val > 1e-6 * val.max()
     fold = vec[:, ok] / np.sqrt(val[ok])
     z = np.hstack([k @ fold, np.ones((r.n, 1))])
     y = np.where(np.arange(r.n) < len(bad), 1.0, -1.0)
-    c = np.where(y > 0, 1.0 / max(1, len(bad)), 4.0 / len(good)) * 200
+    c = np.where(y > 0, 1.0 / max(1, len(bad)), 4.0 / len(good)) * 200 * (1 + np.log(held[np.concatenate([bad, good])]))
     w = np.zeros(z.shape[1])
     reg = np.eye(z.shape[1])
     reg[-1, -1] = 1e-3
@@ -245,7 +254,11 @@ def _machine(f: Features, bad: np.ndarray, good: np.ndarray, rng: np.random.Gene
         w = new
         if done:
             break
-    return (fold @ w[:-1]) @ table.astype(np.float64), float(w[-1])
+    out = np.zeros(LETTERS**3)
+    for i, b in zip(marks, fold @ w[:-1]):
+        at = slice(r.bounds[i], r.bounds[i + 1])
+        np.add.at(out, r.col[at], b * r.val[at])
+    return out, float(w[-1])
 
 
 def _spread(r: Rows, n: int, rng: np.random.Generator) -> np.ndarray:
