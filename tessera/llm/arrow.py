@@ -35,6 +35,13 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, rows: int = 4096) -> It
         a = b
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, where the work on a batch needs several times its memory."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.slice(a, rows)
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only key and text, whatever other columns there are."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import chunks, flat, partitions, texts
+from tessera.llm.arrow import flat, small, texts
 from tessera.llm.words import BYTE, mix
 from tessera.sources.stage import staged
 
@@ -33,7 +33,7 @@ U = np.uint64
 LENGTH = 200
 Q = 32
 HOT = 4000
-BATCH = 6 << 20
+BATCH = 1 << 20
 STRETCH = "mini long, a long, b long, doc_id long, n_bytes int, at int, n int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, length: int, q: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blake = hashlib.blake2b
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = flat(batch.column(1))
             ids = batch.column(0).to_pylist()
             cols: list[list] = [[] for _ in range(6)]
@@ -178,7 +178,7 @@ def repeated_runs(docs: DataFrame, length: int, q: int, hot: int) -> DataFrame:
     keyed = docs.withColumn("n_bytes", F.octet_length("text")).join(todo, ["doc_id", "n_bytes"])
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             for raw, cuts in zip(b.column(0), b.column(1).to_pylist()):
                 raw = raw.as_py().encode()
@@ -251,7 +251,7 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int | None = None, hot: int
     keyed = docs.withColumn("n_bytes", F.octet_length("text")).join(runs, ["doc_id", "n_bytes"], "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             data, offsets = flat(b.column(1))
             kept, spans = [], []
             for d, r in enumerate(b.column(2)):
