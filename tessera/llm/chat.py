@@ -49,10 +49,11 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     jump = slim.select("conv_id", "id", F.coalesce("up", "id").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("up").isNull().alias("done"))
     largest = slim.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while reach < largest:
+    while reach < largest and not jump.where("not done").isEmpty():
+        # only messages whose run goes on need another jump
         to = jump.select("conv_id", F.col("id").alias("head"), F.col("head").alias("h2"), F.col("far").alias("f2"), F.col("done").alias("d2"))
-        jump = jump.join(to, ["conv_id", "head"]).select("conv_id", "id", F.col("h2").alias("head"), F.when(F.col("done"), F.col("far")).otherwise(F.col("far") + F.col("f2")).alias("far"), F.col("d2").alias("done"))
-        jump = staged(jump, "jump")
+        moved = jump.where("not done").join(to, ["conv_id", "head"]).select("conv_id", "id", F.col("h2").alias("head"), (F.col("far") + F.col("f2")).alias("far"), F.col("d2").alias("done"))
+        jump = staged(jump.where("done").unionByName(moved), "jump")
         reach *= 2
     jump = jump.where("done")
     # in a circle nothing is ever done; its messages drop out here
