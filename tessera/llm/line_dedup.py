@@ -89,28 +89,38 @@ def neighbours(s: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _emit(docs: DataFrame, bitmap: np.ndarray, near: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            # each different line of a batch once, with its earliest place
+            first: dict[str, tuple[int, int]] = {}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
-                own = [(i, s) for i, s in enumerate(text.split("\n")) if len(s) >= near] if text is not None else []
-                if not own:
-                    continue
-                found = [_halves(s) for _, s in own]
+                for i, s in enumerate(text.split("\n") if text is not None else []):
+                    if len(s) >= near and ((old := first.get(s)) is None or (doc, i) < old):
+                        first[s] = (doc, i)
+            own = list(first)
+            for a in range(0, len(own), 2000):
+                part = own[a : a + 2000]
+                found = [_halves(s) for s in part]
                 hit = bits.has(bitmap, np.array([k for ks, _ in found for k in ks], U).view(np.int64)).reshape(-1, 4)
-                for (i, s), (_, places), h in zip(own, found, hit):
-                    if not h.any():
-                        continue
-                    mark = np.zeros(len(s), bool)
-                    for (a, z), ok in zip(places, h):
-                        mark[a:z] |= ok
-                    at = np.flatnonzero(mark)
-                    whole, gone = neighbours(s, at)
-                    placed = mix(gone ^ mix(at.astype(U) + U(1)) ^ U(len(s)))
-                    n = len(at)
-                    key = np.concatenate([whole, gone, placed, [U(0)]]).view(np.int64)
-                    kind = np.repeat(np.array([SELF, DELETED, REPLACED, TEXT], np.int32), [1, n, n, 1])
-                    lh = np.array([xxhash.xxh64_intdigest(s.encode(), 42)], U).view(np.int64)[0]
-                    m = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(np.full(m, lh)), pa.array(np.full(m, doc)), pa.array(np.full(m, i, np.int32)), pa.array([None] * (m - 1) + [s], pa.string())], names=["key", "kind", "line_hash", "doc_id", "line", "text"])
+                for s, (_, places), h in zip(part, found, hit):
+                    if h.any():
+                        yield _rows(s, places, h, *first[s])
+
+    def _rows(s: str, places: list[tuple[int, int]], h: np.ndarray, doc: int, i: int) -> pa.RecordBatch:
+        """Replacements where a half is shared with a line as long, deletions where one is shared with a shorter line."""
+        at = []
+        for k in (0, 2):
+            mark = np.zeros(len(s), bool)
+            for (a, z), ok in zip(places[k : k + 2], h[k : k + 2]):
+                mark[a:z] |= ok
+            at.append(np.flatnonzero(mark))
+        whole, gone = neighbours(s, at[1])
+        _, replaced = neighbours(s, at[0])
+        replaced = mix(replaced ^ mix(at[0].astype(U) + U(1)) ^ U(len(s)))
+        key = np.concatenate([whole, gone, replaced, [U(0)]]).view(np.int64)
+        kind = np.repeat(np.array([SELF, DELETED, REPLACED, TEXT], np.int32), [1, len(gone), len(replaced), 1])
+        lh = np.array([xxhash.xxh64_intdigest(s.encode(), 42)], U).view(np.int64)[0]
+        m = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(np.full(m, lh)), pa.array(np.full(m, doc)), pa.array(np.full(m, i, np.int32)), pa.array([None] * (m - 1) + [s], pa.string())], names=["key", "kind", "line_hash", "doc_id", "line", "text"])
 
     return docs.mapInArrow(_gather(run), NEIGHBOURS)
 
@@ -139,7 +149,7 @@ def near_lines(docs: DataFrame, near: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z")
     found = staged(_emit(docs, bits.collect_bits(shared, "key"), near), "neighbours")
     line = F.struct("doc_id", "line", "line_hash")
-    v = found.where(F.col("kind") != TEXT).groupBy("key", "kind", "line_hash").agg(F.min(line).alias("own"))
+    v = staged(found.where(F.col("kind") != TEXT).groupBy("key", "kind", "line_hash").agg(F.min(line).alias("own")), "keys")
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("own")))
     g = v.groupBy("key").agg(of(SELF).alias("of_self"), of(DELETED).alias("of_deleted"), of(REPLACED).alias("of_replaced"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = F.when(F.col("kind") == SELF, F.col("of_deleted")).when(F.col("kind") == DELETED, F.col("of_self")).otherwise(F.col("of_replaced"))
