@@ -9,7 +9,6 @@ def test_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = T.op4(spark, SF).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out")
     rows = got.select("score", "predicted", "toxic").collect()
-    # one in five texts marked toxic here holds no insult at all, so no model of the texts gets much further
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
     bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
     auc = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
