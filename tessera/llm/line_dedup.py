@@ -6,8 +6,10 @@ equality, and of `NEAR` or more within an edit; shorter ones and empty ones stay
 
 1. Two lines within one edit share the first or the second half of the shorter one. Hashed halves are counted with the
    smallest and largest line hash (partial aggregation); halves of two different lines set bits of a bitmap.
-2. Lines with such a half emit their deletion neighbourhood in the other half as hashed keys: with its place (equal keys:
-   one replacement) and without (a line and a neighbour with equal keys: one insertion).
+2. Different lines with such a half are staged once each, with their earliest place. The other half is cut into pieces (about
+   the square root of the length), and the line without one piece is a finer key, counted in the same way. Lines with such a
+   key emit their deletion neighbourhood in the piece as hashed keys: with its place (equal keys: one replacement) and
+   without (a line and a neighbour with equal keys: one insertion).
 3. Equal keys are met by minimum: each key keeps the earliest line, each line the earliest of its keys. So a key that
    very many lines share costs one aggregation, and no pairs are made. The found pairs' edit distance is verified.
 4. Lines equal to an earlier one, or with a verified neighbour that is earlier, go.
@@ -37,8 +39,9 @@ NEAR = 20
 U = np.uint64
 B = 0x9E3779B97F4A7C15
 B_INVERSE = pow(B, -1, 2**64)
-NEIGHBOURS = "key long, kind int, line_hash long, doc_id long, line int, text string"
-SELF, DELETED, REPLACED, TEXT = 0, 1, 2, 3
+CANDIDATES = "line_hash long, doc_id long, line int, text string, halves int"
+NEIGHBOURS = "key long, kind int, line_hash long, doc_id long, line int"
+SELF, DELETED, REPLACED = 0, 1, 2
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -55,16 +58,14 @@ def half_keys(l, size):  # noqa: E741
     return F.array(*[F.xxhash64(k) for k in out])
 
 
-def _halves(s: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """The same keys, and for each the places where the edit can be if that half is shared."""
-    n, keys, places = len(s), [], []
+def _halves(s: str) -> list[int]:
+    """The same keys."""
+    n, keys = len(s), []
     for m in (n, n - 1):
         p = m // 2
         keys.append(xxhash.xxh64_intdigest(f"p{m}|{s[:p]}".encode(), 42))
-        places.append((p, n))
         keys.append(xxhash.xxh64_intdigest(f"s{m}|{s[n - (m - p) :]}".encode(), 42))
-        places.append((0, n - (m - p)))
-    return keys, places
+    return keys
 
 
 _powers = np.ones(1, U)
@@ -78,18 +79,40 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def neighbours(s: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the line, hashes of the line without the character at each wanted place)."""
+def sums(s: str) -> np.ndarray:
+    """Sums over the characters before each place, from which the hash of a line without some of them follows."""
     c = mix(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U) + U(0x51ED270B))
-    total = np.concatenate([[U(0)], np.cumsum(c * powers(len(c)))])
+    return np.concatenate([[U(0)], np.cumsum(c * powers(len(c)))])
+
+
+def neighbours(total: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the line, hashes of the line without the character at each wanted place)."""
+    n = len(total) - 1
     gone = total[wanted] + (total[-1] - total[wanted + 1]) * U(B_INVERSE)
-    return mix(total[-1:] + U(len(c))), mix(gone + U(len(c) - 1))
+    return mix(total[-1:] + U(n)), mix(gone + U(n - 1))
+
 
+def pieces(total: np.ndarray, halves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the line without a piece, where the piece begins, where it ends, whether the line is the longer one of a pair)
+    for each piece of the halves that a shared half leaves. Lines within one edit have the key of the piece with the edit in
+    common; pieces are counted in the shorter line, so that both have the same."""
+    n, out = len(total) - 1, []
+    for k, m in ((0, n), (2, n - 1)):
+        many = max(2, 1 << (m.bit_length() // 2))
+        cuts = np.arange(many + 1) * m // many
+        first, second = (halves >> (k + 1)) & 1, (halves >> k) & 1
+        i = np.arange(0 if first else many // 2, many if second else many // 2)
+        end = cuts[i + 1] + (n - m)
+        h = total[cuts[i]] + (total[-1] - total[end]) * U(1 if m == n else B_INVERSE)
+        out.append((mix(h ^ mix(i.astype(U) + U(m << 20))), cuts[i], end, np.full(len(i), m < n)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _candidates(docs: DataFrame, bitmap: np.ndarray, near: int) -> DataFrame:
+    """The different lines with a shared half, with their earliest place and a bit for each of their half keys."""
 
-def _emit(docs: DataFrame, bitmap: np.ndarray, near: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # each different line of a batch once, with its earliest place
             first: dict[str, tuple[int, int]] = {}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
@@ -99,30 +122,57 @@ def _emit(docs: DataFrame, bitmap: np.ndarray, near: int) -> DataFrame:
             own = list(first)
             for a in range(0, len(own), 2000):
                 part = own[a : a + 2000]
-                found = [_halves(s) for s in part]
-                hit = bits.has(bitmap, np.array([k for ks, _ in found for k in ks], U).view(np.int64)).reshape(-1, 4)
-                for s, (_, places), h in zip(part, found, hit):
-                    if h.any():
-                        yield _rows(s, places, h, *first[s])
-
-    def _rows(s: str, places: list[tuple[int, int]], h: np.ndarray, doc: int, i: int) -> pa.RecordBatch:
-        """Replacements where a half is shared with a line as long, deletions where one is shared with a shorter line."""
-        at = []
-        for k in (0, 2):
-            mark = np.zeros(len(s), bool)
-            for (a, z), ok in zip(places[k : k + 2], h[k : k + 2]):
-                mark[a:z] |= ok
-            at.append(np.flatnonzero(mark))
-        whole, gone = neighbours(s, at[1])
-        _, replaced = neighbours(s, at[0])
-        replaced = mix(replaced ^ mix(at[0].astype(U) + U(1)) ^ U(len(s)))
-        key = np.concatenate([whole, gone, replaced, [U(0)]]).view(np.int64)
-        kind = np.repeat(np.array([SELF, DELETED, REPLACED, TEXT], np.int32), [1, len(gone), len(replaced), 1])
-        lh = np.array([xxhash.xxh64_intdigest(s.encode(), 42)], U).view(np.int64)[0]
-        m = len(key)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(np.full(m, lh)), pa.array(np.full(m, doc)), pa.array(np.full(m, i, np.int32)), pa.array([None] * (m - 1) + [s], pa.string())], names=["key", "kind", "line_hash", "doc_id", "line", "text"])
-
-    return docs.mapInArrow(_gather(run), NEIGHBOURS)
+                hit = bits.has(bitmap, np.array([k for s in part for k in _halves(s)], U).view(np.int64)).reshape(-1, 4) @ np.array([1, 2, 4, 8])
+                at = np.flatnonzero(hit)
+                part = [part[i] for i in at]
+                lh = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in part], U).view(np.int64)
+                docs_, lines_ = [first[s][0] for s in part], [first[s][1] for s in part]
+                yield pa.RecordBatch.from_arrays([pa.array(lh), pa.array(docs_, pa.int64()), pa.array(lines_, pa.int32()), pa.array(part, pa.string()), pa.array(hit[at].astype(np.int32))], names=["line_hash", "doc_id", "line", "text", "halves"])
+
+    found = docs.mapInArrow(run, CANDIDATES)
+    one = found.groupBy("line_hash").agg(F.min(F.struct("doc_id", "line")).alias("own"), F.min("text").alias("text"), F.min("halves").alias("halves"))
+    return one.select("line_hash", "own.doc_id", "own.line", "text", "halves")
+
+
+def _pieces(candidates: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lh, s, halves in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                key = pieces(sums(s.as_py()), halves)[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), lh))], names=["key", "h"])
+
+    return candidates.select("line_hash", "text", "halves").mapInArrow(_gather(run), "key long, h long")
+
+
+def _emit(candidates: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Replacements where the piece can be one of a line as long, deletions where it can be one of a shorter line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lh, doc, i, s, halves in zip(*(b.column(k).to_pylist() for k in range(5))):
+                total = sums(s)
+                key, begin, end, longer = pieces(total, halves)
+                hit = bits.has(bitmap, key.view(np.int64))
+                if not hit.any():
+                    continue
+                marks = np.zeros((2, len(s)), bool)
+                for a, z, k in zip(begin[hit], end[hit], longer[hit].astype(int)):
+                    marks[k, a:z] = True
+                at = [np.flatnonzero(x) for x in marks]
+                whole, gone = neighbours(total, at[1])
+                _, replaced = neighbours(total, at[0])
+                replaced = mix(replaced ^ mix(at[0].astype(U) + U(1)) ^ U(len(s)))
+                out = np.concatenate([whole, gone, replaced]).view(np.int64)
+                kind = np.repeat(np.array([SELF, DELETED, REPLACED], np.int32), [1, len(gone), len(replaced)])
+                m = len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(kind), pa.array(np.full(m, lh)), pa.array(np.full(m, doc)), pa.array(np.full(m, i, np.int32))], names=["key", "kind", "line_hash", "doc_id", "line"])
+
+    return candidates.select("line_hash", "doc_id", "line", "text", "halves").mapInArrow(_gather(run), NEIGHBOURS)
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """The keys that two different lines have."""
+    return keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z")
 
 
 def _gather(run):
@@ -146,17 +196,17 @@ def near_lines(docs: DataFrame, near: int) -> DataFrame:
     """(line_hash, first): lines with an earlier line within one edit, and that line's place."""
     rows = lines(docs).where(F.col("size") >= near)
     keys = rows.select(F.xxhash64("l").alias("h"), F.explode(half_keys(F.col("l"), F.col("size"))).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z")
-    found = staged(_emit(docs, bits.collect_bits(shared, "key"), near), "neighbours")
-    line = F.struct("doc_id", "line", "line_hash")
-    v = staged(found.where(F.col("kind") != TEXT).groupBy("key", "kind", "line_hash").agg(F.min(line).alias("own")), "keys")
+    found = staged(_candidates(docs, bits.collect_bits(_shared(keys), "key"), near), "candidates")
+    v = staged(_emit(found, bits.collect_bits(_shared(_pieces(found)), "key")), "neighbours")
+    # a line can have a key of deletion twice (equal characters on end); either copy says the same
+    v = v.select("key", "kind", "line_hash", F.struct("doc_id", "line", "line_hash").alias("own"))
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("own")))
     g = v.groupBy("key").agg(of(SELF).alias("of_self"), of(DELETED).alias("of_deleted"), of(REPLACED).alias("of_replaced"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = F.when(F.col("kind") == SELF, F.col("of_deleted")).when(F.col("kind") == DELETED, F.col("of_self")).otherwise(F.col("of_replaced"))
     pairs = v.join(g, "key").select("line_hash", "own", first.alias("first")).where(F.col("first") < F.col("own"))
     # the earliest of each line's neighbours; verified below on the texts
     pairs = pairs.groupBy("line_hash").agg(F.min("first").alias("first"))
-    text = staged(found.where(F.col("kind") == TEXT).groupBy("line_hash").agg(F.min("text").alias("text")), "near-texts")
+    text = found.select("line_hash", "text")
     other = text.select(F.col("line_hash").alias("other"), F.col("text").alias("other_text"))
     checked = pairs.withColumn("other", F.col("first.line_hash")).join(text, "line_hash").join(other, "other")
     return checked.where(F.levenshtein("text", "other_text", 1) >= 0).select("line_hash", F.struct("first.doc_id", "first.line").alias("first"))
