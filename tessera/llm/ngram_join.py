@@ -7,12 +7,14 @@ prefixes that are m - 1 longer. Each document chooses its m by estimated cost: a
 to scan, more required matches mean fewer candidates to verify. Two documents then share min(m, m') prefix shingles.
 
 1. Prefix postings are packed in numpy and dealt by shingle; shingles of one node only drop out. (The largest shuffle.)
-2. Each list links its members to a pivot, each member keeps its pivot of most shared shingles; these pairs are verified
-   and give first components. So a group of thousands of near copies costs one pair for each copy, not all pairs.
-3. Only pairs of different components remain: lists emit them with counts, those with too few shared shingles drop out,
-   the rest is verified on the full sets, and components are final.
-
-Links inside a component that step 2 found are implied, none between different components is lost. Null and empty texts
+2. Each list offers its members two hubs of other components, each member keeps a few that it meets most often; these
+   pairs are verified and give first components. While the lists still hold many pairs of different components, this is
+   done again with other hubs, as long as that halves them. So a group of thousands of near copies costs a few pairs for each copy, not all pairs.
+3. Only pairs of different components remain: lists emit them with counts, only shingles in the prefixes
+   that the sizes of both call for count; those with too few drop out, the rest is verified on the full sets, and
+   components are final.
+
+The number of turns changes the work, not the result. Links inside a component that step 2 found are implied, none between different components is lost. Null and empty texts
 and texts without words have empty sets and link with nothing; texts under 5 words are one shingle. Rows given twice are
 equal sets. Extra columns are ignored.
 """
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bits
@@ -34,10 +36,13 @@ from tessera.sources.stage import staged
 
 U = np.uint64
 K = 5
-COUNTERS = 1 << 18
-SLICES = 16
+COUNTERS = 1 << 24
+SLICES = 64
 MATCHES = 4
 VERIFY_COST = 30.0
+HUBS = 4
+TURNS = 5
+ENOUGH = 2  # pairs for each list entry, from which another turn costs more than it saves
 SETS = "doc_id long, n_shingles long, node long, node2 long"
 
 
@@ -82,28 +87,37 @@ def set_keys(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.mapInArrow(run, SETS)
 
 
+def counter(s: np.ndarray) -> np.ndarray:
+    return (s >> U(20)).astype(np.int64) & (COUNTERS - 1)
+
+
+#: About how many documents a level stands for: eight levels for each power of two.
+COUNT_OF = np.exp2(np.arange(256) / 8) - 1
+
+
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold the shingles of each counter; COUNTERS numbers, whatever the corpus."""
+    """How many documents hold the shingles of each counter, as levels of one byte; COUNTERS bytes, whatever the corpus."""
 
     def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, "<u4")
         for _, _, s, _, _ in _each(batches, k):
-            total += np.bincount((s >> U(20)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS)
+            np.add.at(total, counter(s), np.uint32(1))
         if total.any():
-            parts = total.astype("<u4").reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([_squeeze(p) for p in parts], pa.binary())], names=["slice", "counts"])
+            for i, part in enumerate(total.reshape(SLICES, -1)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_squeeze(part)], pa.binary())], names=["slice", "counts"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[i] = held.get(i, 0) + _spread(raw).astype(np.int64)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([h.tobytes() for h in held.values()], pa.binary())], names=["slice", "counts"])
-
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for r in docs.mapInArrow(run, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
-        out[r[0]] = np.frombuffer(bytes(r[1]), np.int64)
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                held[i] = held.get(i, 0) + _spread(raw.as_py()).astype(np.int64)
+        for i, h in held.items():
+            level = np.minimum(255, np.rint(8 * np.log2(1 + h))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
+
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for r in docs.mapInArrow(run, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").toLocalIterator():
+        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
     return out.reshape(-1)
 
 
@@ -124,11 +138,11 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-3 * n // 4)
 
 
-def prefixes(doc: np.ndarray, s: np.ndarray, size: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """(index into s of the prefix shingles, chosen number of matches of each text)."""
+def prefixes(doc: np.ndarray, s: np.ndarray, size: np.ndarray, levels: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into s of the prefix shingles, chosen number of matches of each text, place of each prefix shingle)."""
     if not len(s):
-        return np.empty(0, np.int64), np.ones(len(size), np.int64)
-    est = np.maximum(1.0, counts[(s >> U(20)).astype(np.int64) & (COUNTERS - 1)] - noise)
+        return np.empty(0, np.int64), np.ones(len(size), np.int64), np.empty(0, np.int64)
+    est = np.maximum(1.0, COUNT_OF[levels[counter(s)]] - noise)
     rank = np.minimum(np.log2(est), 30).astype(U)
     # frequent shingles last; the document in the top bits keeps texts apart
     order = np.argsort((doc.astype(U) << U(52)) | (rank << U(47)) | (s >> U(17)), kind="stable") if len(size) <= 4096 else np.lexsort((s, rank, doc))
@@ -144,19 +158,19 @@ def prefixes(doc: np.ndarray, s: np.ndarray, size: np.ndarray, counts: np.ndarra
         best = np.minimum(c, best)
     length = np.where(size > 0, np.minimum(size, size - t + chosen), 0)
     at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    return order[at], chosen
+    return order[at], chosen, at - np.repeat(begin, length)
 
 
-POSTING = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4")])  # size holds the matches in its top 4 bits
+POSTING = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])  # size holds the matches in its top 4 bits
 
 
-def postings(docs: DataFrame, counts: np.ndarray, k: int, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, levels: np.ndarray, k: int, buckets: int) -> DataFrame:
     """(bucket, entries): packed prefix postings."""
-    noise = float(np.median(counts)) * 1.5 + 2
+    noise = float(COUNT_OF[int(np.median(levels))]) * 1.5 + 2
 
     def run(batches):
         for _, doc, s, size, (node, _) in _each(batches, k):
-            at, m = prefixes(doc, s, size, counts, noise)
+            at, m, place = prefixes(doc, s, size, levels, noise)
             if not len(at):
                 continue
             rows = np.empty(len(at), POSTING)
@@ -164,6 +178,7 @@ def postings(docs: DataFrame, counts: np.ndarray, k: int, buckets: int) -> DataF
             rows["token"] = (h & U(0xFFFFFFFF)).astype(np.uint32)
             rows["node"] = node.view(np.int64)[doc[at]]
             rows["size"] = np.minimum(size[doc[at]], (1 << 28) - 1) | (m[doc[at]] << 28)
+            rows["place"] = place
             bucket = (h >> U(32)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
@@ -175,7 +190,7 @@ def postings(docs: DataFrame, counts: np.ndarray, k: int, buckets: int) -> DataF
 
 
 def lists(packed: DataFrame, parts: int) -> DataFrame:
-    """(token, node, size, matches) of shingles that two nodes or more have in their prefixes."""
+    """(token, node, size, matches, place) of shingles that two nodes or more have in their prefixes."""
 
     def flush(held: list[bytes], bucket: int):
         rows = np.frombuffer(b"".join(held), POSTING)
@@ -189,7 +204,7 @@ def lists(packed: DataFrame, parts: int) -> DataFrame:
         token = (np.int64(bucket) << 32) | rows["token"].astype(np.int64)
         for a in range(0, len(rows), 100_000):
             r = rows[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(r["node"]), pa.array((r["size"] & ((1 << 28) - 1)).astype(np.int64)), pa.array((r["size"] >> 28).astype(np.int32))], names=["token", "node", "size", "matches"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(r["node"]), pa.array((r["size"] & ((1 << 28) - 1)).astype(np.int64)), pa.array((r["size"] >> 28).astype(np.int32)), pa.array(r["place"].astype(np.int32))], names=["token", "node", "size", "matches", "place"])
 
     def run(batches):
         held, bucket = [], -1
@@ -203,7 +218,7 @@ def lists(packed: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from flush(held, bucket)
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, node long, size long, matches int")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, node long, size long, matches int, place int")
 
 
 def full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
@@ -244,25 +259,44 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return staged(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "links")
 
 
-def stars(found: DataFrame) -> DataFrame:
-    """For each node the pivot of most shared shingles; the pivot of a list is its smallest node of the size in its middle
-    or any: the one that is smallest by hash."""
-    pivot = found.groupBy("token").agg(F.min("node").alias("pivot"))
-    pairs = found.join(pivot, "token").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = pairs.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("best"))
-    return best.select(F.col("node").alias("u"), F.col("best.pivot").alias("v"))
+def labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The list entries with their nodes' components so far."""
+    if labels is None:
+        return found.withColumn("label", F.col("node"))
+    return found.join(labels, "node", "left").select(*found.columns, F.coalesce("component", "node").alias("label"))
+
+
+def stars(found: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """For each node up to HUBS partners of other components. Each list that holds two components or more has two hubs,
+    from its smallest and its largest component, drawn by a hash that changes with the turn; those that a node meets in
+    the most lists come first."""
+    rows = labelled(found, labels)
+    member = F.struct("label", F.xxhash64("node", F.lit(turn)).alias("draw"), "node")
+    hubs = rows.groupBy("token").agg(F.min(member).alias("a"), F.max(member).alias("z")).where("a.label <> z.label")
+    met = rows.join(hubs, "token").select("node", "label", F.explode(F.array("a", "z")).alias("hub")).where("label <> hub.label")
+    counted = met.groupBy(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"), "node").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "u", "v"))).where(F.col("place") <= HUBS)
+    return best.select("u", "v").distinct()
+
+
+def open_pairs(found: DataFrame, labels: DataFrame | None) -> tuple[int, int]:
+    """(pairs of different components that the lists would emit, list entries)."""
+    sizes = labelled(found, labels).groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    lists_ = sizes.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    r = lists_.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+    return int(r[0] or 0), int(r[1] or 0)
 
 
 def rest(found: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """Pairs of nodes of different components with enough shared prefix shingles and similar sizes."""
-    rows = found.join(labels, "node", "left").select("token", "node", "size", "matches", F.coalesce("component", "node").alias("label"))
+    rows = labelled(found, labels)
     mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("token")
     rows = rows.join(mixed, "token")
 
     def flush(t: pa.Table):
-        size, node, label, m = (t.column(i).to_numpy() for i in (2, 1, 4, 3))
+        size, node, label, m, place = (t.column(i).to_numpy() for i in (2, 1, 5, 3, 4))
         order = np.argsort(size, kind="stable")
-        size, node, label, m = size[order], node[order], label[order], m[order]
+        size, node, label, m, place = size[order], node[order], label[order], m[order], place[order]
         end = np.searchsorted(size, size * 4 // 3, "right")
         block = 512
         for a in range(0, len(size), block):
@@ -273,9 +307,13 @@ def rest(found: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             ok = label[i] != label[j]
             i, j = i[ok], j[ok]
+            # a similar pair has a >= 3/7 (n + n') common shingles, so the first n - a + m of both hold m of them
+            common, need = -(-3 * (size[i] + size[j]) // 7), np.minimum(m[i], m[j])
+            ok = (place[i] < size[i] - common + need) & (place[j] < size[j] - common + need)
+            i, j, need = i[ok], j[ok], need[ok]
             if len(i):
                 u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.minimum(m[i], m[j]).astype(np.int32))], names=["u", "v", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(need.astype(np.int32))], names=["u", "v", "need"])
 
     def run(batches):
         held, token = [], None
@@ -304,7 +342,7 @@ def rest(found: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    dealt = rows.select("token", "node", "size", "matches", "label").repartition(parts, "token").sortWithinPartitions("token")
+    dealt = rows.select("token", "node", "size", "matches", "place", "label").repartition(parts, "token").sortWithinPartitions("token")
     pairs = dealt.mapInArrow(joined, "u long, v long, need int")
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("u", "v")
 
@@ -315,8 +353,15 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     parts = partitions(docs)
     keys = staged(set_keys(docs, k), "sets")
     found = staged(lists(postings(docs, frequencies(docs, k), k, 4 * parts), parts), "lists")
-    near = verified(stars(found), docs, k)
-    first = staged(components(near), "components")
+    near, first, before = None, None, open_pairs(found, None)[0]
+    for turn in range(TURNS):
+        links = verified(stars(found, first, turn), docs, k)
+        near = links if near is None else near.unionByName(links)
+        first = staged(components(near), "components")
+        pairs, entries = open_pairs(found, first)
+        if pairs <= ENOUGH * entries or 2 * pairs > before:
+            break
+        before = pairs
     more = verified(rest(found, first, parts), docs, k)
     labels = components(near.unionByName(more)) if not more.isEmpty() else first
     same = keys.where("n_shingles > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("rep"))
