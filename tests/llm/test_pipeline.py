@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
+from tessera.llm import toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +20,26 @@ def test_stages_keep_columns_and_clean_documents(spark):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    say = lambda word: " ".join(f"{word}{i}" for i in range(40))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema).repartition(3)
+    kept = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, frame(rows), SF).collect()), key=str)
+    near = [(None, say("a")), (None, say("b")), (5, say("c")), (5, say("c")), (None, say("c") + " more"), (6, say("d")), (6, say("e")), (None, say("f")), (None, say("f"))]
+    assert kept(corpus_pipeline.drop_near_duplicates, near) == sorted([near[0], near[1], near[2], near[5], near[6], near[7]], key=str)
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    leaks = [(None, leak), (7, leak), (7, say("g")), (None, say("h")), (7, say("i"))]
+    assert kept(corpus_pipeline.drop_contaminated, leaks) == sorted([leaks[2], leaks[3], leaks[4]], key=str)
+
+    line, short = "one and the same long line of text", "short"
+    assert kept(corpus_pipeline.drop_repeated_lines, [(None, f"{line}\n{say('j')}"), (None, f"{say('k')}\n{short}"), (3, line), (4, f"{say('l')}\n{line}"), (4, f"{say('m')}\n{say('n')}")]) == sorted(
+        [(None, say("j")), (None, f"{say('k')}\n{short}"), (3, line), (4, say("l")), (4, f"{say('m')}\n{say('n')}")], key=str
+    )
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    bad, good = (toxicity.score(docs, model).where(f"predicted = {p}").join(docs, "doc_id").orderBy("doc_id").first().text for p in (1, 0))
+    more = docs.unionByName(frame([(None, bad), (None, good)]))
+    assert [r.text for r in corpus_pipeline.drop_toxic(spark, more, SF).where("doc_id is null").collect()] == [good]
