@@ -15,9 +15,11 @@ from pyspark.sql import functions as S
 
 from tessera.errors import ValidationError
 from tessera.functions import vectors as V
+from tessera.sources.stage import staged
 
 METRICS = ("cosine", "l2")
 MAX_BATCH_QUERIES = 100_000
+SCORES = 1 << 22
 
 
 class ExactIndex:
@@ -41,13 +43,26 @@ class ExactIndex:
         return self._scored(q).where(S.col("score") >= bound)
 
     def search_batch(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
-        """The k nearest of every query: queries (a checked number) go to each task as one matrix, which keeps its best
-        k of each Arrow batch; a window merges these partial lists."""
-        rows = queries.limit(MAX_BATCH_QUERIES + 1).select(query_id, S.col(vector).cast("array<double>")).collect()
-        if len(rows) > MAX_BATCH_QUERIES:
-            raise ValidationError(f"more than {MAX_BATCH_QUERIES} queries in a batch; split them")
+        """The k nearest of every query. Queries go to each task as one matrix, which keeps its best k of each Arrow batch; a
+        window merges these partial lists. More than MAX_BATCH_QUERIES queries are dealt into blocks of about that many by a
+        hash, each is run against all rows and its result staged before the next one comes to the driver."""
+        q = queries.select(S.col(query_id).cast("long").alias("query_id"), S.col(vector).cast("array<double>").alias("vector"))
+        n = q.count()
+        if n <= MAX_BATCH_QUERIES:
+            return self._block(q, k)
+        # by the id: rows of one query_id are ranked together
+        blocks = -(-n // MAX_BATCH_QUERIES)
+        q = staged(q.withColumn("block", S.pmod(S.xxhash64("query_id"), S.lit(blocks))), "queries")
+        out = None
+        for i in range(blocks):
+            part = staged(self._block(q.where(S.col("block") == i).drop("block"), k), "nearest")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _block(self, queries: DataFrame, k: int) -> DataFrame:
+        rows = queries.collect()
         ids = np.array([r[0] for r in rows], dtype="int64")
-        matrix = np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), -1)
+        matrix = np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), len(rows[0][1]) if rows else 0)
         metric, id_column, vec = self.metric, self.id, self.vector
         unit = _unit(matrix) if metric == "cosine" else matrix
 
@@ -57,12 +72,19 @@ class ExactIndex:
                     continue
                 x = np.stack(b[vec].to_numpy()).astype("float64")
                 own = b[id_column].to_numpy()
-                s = unit @ _unit(x).T if metric == "cosine" else -np.sqrt(np.maximum(0, (unit**2).sum(1)[:, None] - 2 * unit @ x.T + (x**2).sum(1)))
                 n = min(k, len(own))
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(own) else np.tile(np.arange(len(own)), (len(ids), 1))
-                edge = np.take_along_axis(s, best, 1).min(1)
-                at, col = np.nonzero(s >= edge[:, None])
-                yield pd.DataFrame({"query_id": ids[at], "id": own[col], "score": s[at, col]})
+                if n < 1:
+                    continue
+                y = _unit(x) if metric == "cosine" else x
+                # so many queries at a time that their scores stay small
+                step = max(1, SCORES // len(own))
+                for a in range(0, len(ids), step):
+                    u = unit[a : a + step]
+                    s = u @ y.T if metric == "cosine" else -np.sqrt(np.maximum(0, (u**2).sum(1)[:, None] - 2 * u @ y.T + (y**2).sum(1)))
+                    best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(own) else np.tile(np.arange(len(own)), (len(u), 1))
+                    edge = np.take_along_axis(s, best, 1).min(1)
+                    at, col = np.nonzero(s >= edge[:, None])
+                    yield pd.DataFrame({"query_id": ids[a + at], "id": own[col], "score": s[at, col]})
 
         usable = self.df.where(V.usable(S.col(vec), matrix.shape[1] if len(ids) else None)).select(id_column, vec)
         part = usable.mapInPandas(run, "query_id long, id long, score double")
