@@ -10,7 +10,7 @@ strings get a backslash after their first character, so no control string is lef
 loss mask is a list of code-point spans, one for each assistant text.
 
 Null roles and texts are empty. A parent that doesn't exist makes its child a root; messages whose parents run in a
-circle belong to no path and are left out. Equal rows are messages of their own. Extra columns are ignored.
+circle belong to no path and are left out. Messages with a null conv_id are one conversation of their own. Equal rows are messages of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +39,15 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
 
     messages: conv_id, id (unique in its conversation), parent (null for roots), score.
     """
+    return _paths(messages.withColumn("conv_id", _whole("conv_id")), keep).withColumn("conv_id", F.col("conv_id.of"))
+
+
+def _whole(name: str) -> Column:
+    """A conv_id as a struct, which is never null, so that joins meet null ones too."""
+    return F.struct(F.col(name).alias("of"))
+
+
+def _paths(messages: DataFrame, keep: int | None) -> DataFrame:
     m = messages.select("conv_id", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = m.select("conv_id", F.col("id").alias("parent"), F.lit(True).alias("there"))
     children = m.groupBy("conv_id", "parent").agg(F.count(F.lit(1)).alias("siblings"))
@@ -81,8 +90,9 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
 
 def format_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """(conv_id, leaf, rank, formatted, loss array<struct<start, size>>), one row for each chosen path."""
+    messages = messages.withColumn("conv_id", _whole("conv_id"))
     said = messages.select("conv_id", "id", F.coalesce("role", F.lit("")).alias("role"), escape(F.col("role")).alias("r"), escape(F.col("text")).alias("t"))
-    rows = paths(messages, keep).join(said, ["conv_id", "id"])
+    rows = _paths(messages, keep).join(said, ["conv_id", "id"])
     turns = rows.groupBy("conv_id", "leaf").agg(F.max("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("place", "role", "r", "t"))).alias("turns"))
     one = lambda x: F.concat(F.lit(BEGIN + HEAD), x.r, F.lit(TAIL), x.t, F.lit(END))
     empty = F.array().cast("array<struct<start:int,size:int>>")
@@ -95,7 +105,7 @@ def format_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
             F.when(x.role == "assistant", F.concat(acc.spans, F.array(F.struct((acc.at + head + F.length(x.r)).alias("start"), F.length(x.t).alias("size"))))).otherwise(acc.spans).alias("spans"),
         ),
     )
-    return turns.select("conv_id", "leaf", "rank", F.array_join(F.transform("turns", one), "").alias("formatted"), step.spans.alias("loss"))
+    return turns.select(F.col("conv_id.of").alias("conv_id"), "leaf", "rank", F.array_join(F.transform("turns", one), "").alias("formatted"), step.spans.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

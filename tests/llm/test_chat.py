@@ -1,3 +1,5 @@
+import duckdb
+
 from tessera.llm import chat
 from tests.compare import duck, same
 
@@ -24,6 +26,20 @@ def test_trees(spark):
     assert {(r.conv_id, r.leaf) for r in chat.format_paths(df, keep=1).collect()} == {(1, 5), (2, 1), (4, 1)}
 
 
+def test_null_conversation(spark, tmp_path):
+    rows = [(None, 1, None, "user", "q", 0.0), (None, 2, 1, "assistant", "a", 1.0), (None, 3, 1, "assistant", "b", 2.0), (None, 4, 3, "user", "c", 0.5), (0, 1, None, "user", "zero", 0.0), (0, 2, 1, "assistant", "none", 0.0)]
+    df = spark.createDataFrame(rows, "conv_id long, id long, parent long, role string, text string, score double")
+    got = {(r.conv_id, r.leaf, r.rank): [t.text for t in r.turns] for r in chat.read_back(chat.format_paths(df, keep=5)).collect()}
+    assert got == {(None, 2, 2): ["q", "a"], (None, 4, 1): ["q", "b", "c"], (0, 2, 1): ["zero", "none"]}
+    assert {(r.conv_id, r.leaf, r.place, r.id) for r in chat.paths(df, keep=1).collect()} == {(None, 4, 0, 1), (None, 4, 1, 3), (None, 4, 2, 4), (0, 2, 0, 1), (0, 2, 1, 2)}
+    conversations = [(c, t, role, f"{role} {t} of {c}") for c in (None, 5, 0) for t, role in enumerate(("user", "assistant", "user"))]
+    spark.createDataFrame(conversations, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(chat.SQL).fetchall()
+    assert len(want) == 4 and sorted(map(tuple, chat.op8(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_long_chain_and_empty(spark):
     n = 300
     df = spark.createDataFrame([(7, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(n)], "conv_id long, id long, parent long, role string, text string, score double")
