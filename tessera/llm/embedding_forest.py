@@ -11,7 +11,8 @@ its own, so memory stays bounded. Pairs are verified with cosines in double prec
 together in a tree with probability over 0.9, so six trees miss about one in a million (see the tests).
 
 Null, zero or non-finite vectors, those with null components, and those with a null label link with nothing; they are
-components of their own. Only vectors of the largest dimension are compared.
+components of their own. Vectors of every dimension are compared, each with those of its own dimension: the dimension counts
+as part of the label, and each has its own trees.
 """
 
 from __future__ import annotations
@@ -80,15 +81,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
     """(counts: rep, linked; edges: u, v) for distinct vectors (rep, label, times, embedding)."""
     spark = vectors.sparkSession
-    most = vectors.groupBy("label", F.size("embedding").alias("dim")).count().agg(F.max("count"), F.max("dim")).first()
-    if not most[0]:
+    dim = F.size("embedding").alias("dim")
+    most = vectors.groupBy("label", dim).count().groupBy("dim").agg(F.max("count"), F.sum("count")).collect()
+    if not most:
         return spark.createDataFrame([], "rep long, linked long"), spark.createDataFrame([], "u long, v long")
-    total = vectors.count()
-    fit = vectors.orderBy(F.xxhash64("rep")).limit(FIT) if total > FIT else vectors
-    dim = most[1]
-    sample = np.array([list(r[0]) for r in fit.where(F.size("embedding") == dim).select(F.col("embedding").cast("array<double>")).collect()]).reshape(-1, dim)
-    depth = int(min(DEEPEST, max(0, np.ceil(np.log2(most[0] / leaf)))))
-    forest = Forest(_unit(sample), depth, trees, spill)
+    forests = {}
+    for size, largest, total in most:
+        depth = int(min(DEEPEST, max(0, np.ceil(np.log2(largest / leaf)))))
+        if not depth:
+            # one leaf, nothing to fit
+            forests[size] = Forest(np.zeros((0, size)), 0, 1, spill)
+            continue
+        own = vectors.where(dim == size)
+        fit = own.orderBy(F.xxhash64("rep")).limit(FIT) if total > FIT else own
+        sample = np.array([list(r[0]) for r in fit.select(F.col("embedding").cast("array<double>")).collect()]).reshape(-1, size)
+        forests[size] = Forest(_unit(sample), depth, trees, spill)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,25 +104,23 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
                 emb = part.column(3)
                 x = emb.to_pylist()
                 sizes = np.array([len(v) for v in x])
-                rows = np.flatnonzero(sizes == dim)
-                if not len(rows):
-                    continue
-                m = _unit(np.array([x[i] for i in rows], float))
-                found = forest.leaves(m)
-                own = [[] for _ in rows]
-                for t, f in enumerate(found):
-                    for r, n in f.tolist():
-                        own[r].append(t << 32 | n)
-                lens = np.array([len(o) for o in own])
-                rep = np.repeat(rows, lens)
-                key = np.concatenate([np.array(o, np.int64) for o in own])
-                idx = pa.array(rep)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1).take(idx), pa.array(key), part.column(0).take(idx), part.column(2).take(idx), emb.take(idx), pa.array([own[i] for i in np.repeat(np.arange(len(rows)), lens)], pa.list_(pa.int64()))],
-                    names=["label", "leaf", "rep", "times", "embedding", "own"],
-                )
-
-    placed = staged(vectors.select("rep", F.col("label").cast("string").alias("label"), "times", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(place, "label string, leaf long, rep long, times long, embedding array<float>, own array<long>"), "leaves")
+                for size in np.unique(sizes).tolist():
+                    rows = np.flatnonzero(sizes == size)
+                    found = forests[size].leaves(_unit(np.array([x[i] for i in rows], float)))
+                    own = [[] for _ in rows]
+                    for t, f in enumerate(found):
+                        for r, n in f.tolist():
+                            own[r].append(t << 32 | n)
+                    lens = np.array([len(o) for o in own])
+                    rep = np.repeat(rows, lens)
+                    key = np.concatenate([np.array(o, np.int64) for o in own])
+                    idx = pa.array(rep)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(1).take(idx), pa.array(key), part.column(0).take(idx), part.column(2).take(idx), emb.take(idx), pa.array([own[i] for i in np.repeat(np.arange(len(rows)), lens)], pa.list_(pa.int64()))],
+                        names=["label", "leaf", "rep", "times", "embedding", "own"],
+                    )
+
+    placed = staged(vectors.select("rep", F.concat_ws(":", F.size("embedding"), F.col("label").cast("string")).alias("label"), "times", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(place, "label string, leaf long, rep long, times long, embedding array<float>, own array<long>"), "leaves")
     sizes = placed.groupBy("label", "leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("blocks")).where("blocks > 1")
     cut = placed.join(sizes, ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))

@@ -49,5 +49,14 @@ def test_against_brute_force_with_leaves_and_blocks(spark):
     check(spark, data, leaf=30, leaf_rows=25, spill=0.05)
 
 
+def test_every_dimension(spark):
+    groups = [rows(2, 300), [(10_000 + i, label, v[:9], x) for i, label, v, x in rows(3, 200)], [(20_000, 1, [1.0] * 40, "x")], [(30_001, 2, [1.0, 1.0], "x"), (30_002, 2, [1.0, 1.01], "x"), (30_003, 0, [1.0, 1.0], "x")]]
+    want = {k: v for g in groups for k, v in brute(g).items()}
+    assert want[30_002] == (1, 30_001, False)
+    df = spark.createDataFrame([r for g in groups for r in g], KIND).repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(df, leaf=30, leaf_rows=25, spill=0.05).collect()}
+    assert got == want
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], KIND)).count() == 0
