@@ -12,7 +12,9 @@ their bucket drop out. Minimizers with more than `HOT` different stretches (near
 gathered: their windows are dealt and counted one by one.
 
 Null and empty texts have no bytes; texts shorter than LENGTH keep all. Copies of a text lose all their bytes where they
-are long enough, the first one too; so do rows given twice (doc_id says which row a text is). Extra columns are ignored.
+are long enough, the first one too; so do rows given twice. Inside, a row goes by a hash of doc_id and text, which is never
+null: null and repeated doc_ids may be any rows', and rows that share it have one text and lose the same bytes. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ LENGTH = 200
 Q = 32
 HOT = 4000
 BATCH = 1 << 20
-STRETCH = "mini long, a long, b long, doc_id long, n_bytes int, at int, n int"
+STRETCH = "mini long, a long, b long, row long, n_bytes int, at int, n int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -75,7 +77,7 @@ def stretches(data: np.ndarray, length: int, q: int) -> Iterator[tuple[int, int,
 
 
 def scan(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """Every stretch of every text with a 128-bit hash of its content and of where its minimizer lies."""
+    """Every stretch of every (row, text) with a 128-bit hash of its content and of where its minimizer lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blake = hashlib.blake2b
@@ -103,7 +105,7 @@ def scan(docs: DataFrame, length: int, q: int) -> DataFrame:
 
     def _batch(c):
         k = np.frombuffer(b"".join(c[1]), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int32())], names=["mini", "a", "b", "doc_id", "n_bytes", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int32())], names=["mini", "a", "b", "row", "n_bytes", "at", "n"])
 
     return docs.mapInArrow(run, STRETCH)
 
@@ -168,14 +170,15 @@ def compare(rows: list[tuple[bytes, int]], length: int) -> list[list[int]]:
 
 
 def repeated_runs(docs: DataFrame, length: int, q: int, hot: int) -> DataFrame:
-    """(doc_id, n_bytes, runs array<int>) of window runs [first, end, ...] that are repeated; several rows a document."""
-    found = staged(scan(docs, length, q).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "n_bytes", "at", "n", "mini")).alias("one")), "stretches")
+    """(row, n_bytes, runs array<int>) of window runs [first, end, ...] that are repeated, for docs (row, text); several rows a
+    document."""
+    found = staged(scan(docs, length, q).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "n_bytes", "at", "n", "mini")).alias("one")), "stretches")
     found = found.select("a", "b", "times", "one.*")
     minis = found.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds"))
     alone = found.join(minis.where("kinds > 1"), "mini")
-    shared = staged(alone.where("times = 1 or kinds > 1").select("mini", "kinds", "a", "b", "times", "doc_id", "n_bytes", "at", "n"), "shared")
-    todo = shared.groupBy("doc_id", "n_bytes").agg(F.collect_list(F.struct("mini", "kinds", "a", "b", "at", "n", "times")).alias("cuts"))
-    keyed = docs.withColumn("n_bytes", F.octet_length("text")).join(todo, ["doc_id", "n_bytes"])
+    shared = staged(alone.where("times = 1 or kinds > 1").select("mini", "kinds", "a", "b", "times", "row", "n_bytes", "at", "n"), "shared")
+    todo = shared.groupBy("row", "n_bytes").agg(F.collect_list(F.struct("mini", "kinds", "a", "b", "at", "n", "times")).alias("cuts"))
+    keyed = docs.withColumn("n_bytes", F.octet_length("text")).join(todo, ["row", "n_bytes"])
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -225,7 +228,7 @@ def repeated_runs(docs: DataFrame, length: int, q: int, hot: int) -> DataFrame:
     whole = found.where("times > 1").select("a", "b")
     runs = staged(runs.where(F.size("runs") > 0).join(whole, ["a", "b"], "left_anti").unionByName(whole.withColumn("runs", F.lit(None).cast("array<int>"))), "runs")
     places = scan(docs, length, q).join(runs, ["a", "b"])
-    return places.select("doc_id", "n_bytes", F.when(F.col("runs").isNull(), F.array("at", F.col("at") + F.col("n"))).otherwise(F.transform("runs", lambda r: r + F.col("at"))).alias("runs"))
+    return places.select("row", "n_bytes", F.when(F.col("runs").isNull(), F.array("at", F.col("at") + F.col("n"))).otherwise(F.transform("runs", lambda r: r + F.col("at"))).alias("runs"))
 
 
 def _one_by_one(cut: DataFrame, length: int) -> DataFrame:
@@ -247,8 +250,10 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int | None = None, hot: int
     """doc_id, text_bytes kept, and the removed runs, for every document: the operator's full output."""
     docs = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
     q = min(Q, max(4, length // 4)) if q is None else q
-    runs = repeated_runs(docs, length, q, hot).groupBy("doc_id", "n_bytes").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    keyed = docs.withColumn("n_bytes", F.octet_length("text")).join(runs, ["doc_id", "n_bytes"], "left").select("doc_id", "text", "runs")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    # a set, as rows that share a hash say the same runs over and over
+    runs = repeated_runs(docs.select("row", "text"), length, q, hot).groupBy("row", "n_bytes").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    keyed = docs.withColumn("n_bytes", F.octet_length("text")).join(runs, ["row", "n_bytes"], "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):

@@ -51,5 +51,16 @@ def test_hot_minimizers(spark):
     check(spark, cases(3), 50, 1)
 
 
+def test_null_and_repeated_ids(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared, other, third = word(200), word(300), word(260)
+    own = [word(n) for n in (50, 70, 70, 90, 90, 400, 400)]
+    rows = [(None, own[0] + shared), (1, shared + own[3]), (None, own[5]), (None, own[5]), (None, own[1] + other), (4, other[40:260] + own[4]), (7, own[2] + third), (7, own[6][:330]), (8, third[20:240]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans) // 2, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in suffixes.remove(df).collect()), key=str)
+    assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 200))), key=str)
+
+
 def test_empty(spark):
     assert suffixes.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
