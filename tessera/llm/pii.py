@@ -7,6 +7,8 @@ the key can undo it. Rounds take SHA-256 of the key, the kind, the round and the
 use a network over their characters (each shifted within its own alphabet), bounded numbers one over a product of two
 moduli with cycle walking. Check digits are computed anew. Separators, prefixes and lengths stay.
 
+Secrets and hexadecimal keys may have any length; the whole run of characters that a value can have is permuted.
+
 Null texts stay null, and texts without such values stay as they are. A number that doesn't validate is left alone.
 Equal rows stay equal rows; an empty table gives an empty result; extra columns are ignored.
 """
@@ -28,11 +30,12 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "card": r"(?<![\d])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19})(?!\d)",
     "key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api_?key)[\"']?[ \t]{0,8}[=:][ \t]{0,8}[\"']?[A-Za-z0-9+/_-]{6,128}(?:\.[A-Za-z0-9+/_-]{1,128}){0,8}",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api_?key)[\"']?[ \t]{0,8}[=:][ \t]{0,8}[\"']?[A-Za-z0-9+/_-]{6,}+(?:\.[A-Za-z0-9+/_-]++)*+",
+    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
+LONG = 1200
 DAYS = 73_049  # 1900-01-01 to 2099-12-31
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 KEY = "pseudonyms"
@@ -62,7 +65,10 @@ def permute_text(c: Column, key: str, kind: str, inverse: bool = False, hexadeci
 
     def turn(acc: Column, r: Column) -> Column:
         other = F.array_join(F.filter(acc, lambda x, j: j % 2 != r % 2), "")
-        return F.transform(acc, lambda ch, i: F.when(i % 2 == r % 2, shift(ch, prf(key, kind, r, F.concat_ws("|", other, i.cast("string"))) % 10_000_019)).otherwise(ch))
+        # of long values the digest, and it is made once a turn: the work grows with the length, not with its square
+        other = F.when(F.size(acc) > LONG, F.sha2(other.cast("binary"), 256)).otherwise(other)
+        moved = lambda o: F.transform(acc, lambda ch, i: F.when(i % 2 == r % 2, shift(ch, prf(key, kind, r, F.concat_ws("|", o, i.cast("string"))) % 10_000_019)).otherwise(ch))
+        return F.element_at(F.transform(F.array(other), moved), 1)
 
     return F.array_join(F.aggregate(_turns(inverse), F.split(c, ""), turn), "")
 

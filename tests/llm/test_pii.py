@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from tessera.llm.pii import pseudonymize
 
@@ -36,5 +38,22 @@ def test_formats_links_and_inverse(spark):
     assert {r.text for r in pseudonymize(df.where("doc_id = 0"), key="other").collect()} != {got[0].text}
 
 
+def test_long_secrets(spark):
+    r = random.Random(2)
+    some = lambda n, alphabet=string.ascii_letters + string.digits: "".join(r.choice(alphabet) for _ in range(n))
+    jwt = ".".join(some(n) for n in (36, 400, 86))
+    values = [some(129), some(200), jwt, ".".join(some(12) for _ in range(15)), some(6), some(30_000), some(200, "0123456789abcdef")]
+    keys = [some(n, "0123456789abcdef") for n in (65, 128, 3000)]
+    rows = [(i, f"token = {v}, end", "s") for i, v in enumerate(values)] + [(100 + i, f"key {v}, end", "s") for i, v in enumerate(keys)]
+    out = pseudonymize(spark.createDataFrame(rows, KIND)).cache()
+    got = {x.doc_id: x for x in out.collect()}
+    for i, t, _ in rows:
+        new = got[i].text
+        assert len(new) == len(t) and got[i].n_found == 1 and new[:8].startswith(t[:4]) and new.endswith(", end")
+        for a in range(8, len(t) - 25, 20):  # no stretch stays in clear
+            assert new[a : a + 20] != t[a : a + 20], (i, a)
+    assert {x.doc_id: x.text for x in pseudonymize(out, inverse=True).collect()} == {i: t for i, t, _ in rows}
+
+
 def test_empty(spark):
     assert pseudonymize(spark.createDataFrame([], KIND)).count() == 0
