@@ -182,9 +182,9 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("d"), F.octet_length(html).alias("n"))
     firsts = rows.where(F.col("n") >= least).groupBy("d", "n").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    again = rows.join(firsts, ["d", "n"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    return full.join(again, "page_id", "left")
+    again = rows.join(firsts, ["d", "n"]).where("page_id <> refers_to").select("page_id", "d", "n", "refers_to").distinct()
+    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("d"), F.octet_length(html).alias("n"))
+    return full.join(again, ["page_id", "d", "n"], "left").drop("d", "n")
 
 
 def write_packages(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:

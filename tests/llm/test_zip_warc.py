@@ -32,6 +32,16 @@ def test_round_trip(spark, tmp_path):
     assert large.where("payload_bytes < 100 and record_type = 'revisit'").isEmpty()
 
 
+def test_pages_with_two_payloads(spark, tmp_path):
+    rows = [(1, "a", "first", "e"), (2, "b", "second", "e"), (5, "c", "first", "e"), (5, "d", "third", "e"), (6, "e", "first", "e"), (6, "f", "second", "e")]
+    folder = f"file://{tmp_path}/w"
+    got = sorted((r.page_id, r.url, r.record_type, r.refers_to, bytes(r.payload)) for r in Z.read_records(Z.write_packages(spark.createDataFrame(rows, KIND), folder), folder).collect())
+    assert got == [
+        (1, "a", "response", None, b"first"), (2, "b", "response", None, b"second"), (5, "c", "revisit", 1, b""), (5, "d", "response", None, b"third"),
+        (6, "e", "revisit", 1, b""), (6, "f", "revisit", 2, b""),
+    ]
+
+
 def test_plain_zip_directory():
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
