@@ -127,6 +127,33 @@ class IvfIndex(ExactIndex):
         cells = model.transform(usable.withColumn("__f", array_to_vector(space))).drop("__f")
         return IvfIndex(cells, id_column, vector, metric, np.array(model.clusterCenters()), nprobe)
 
+    def _cells(self, rows: DataFrame) -> DataFrame:
+        """Usable rows with the cell of the nearest centroid."""
+        centroids, metric = self.centroids, self.metric
+
+        @S.pandas_udf("int")
+        def nearest(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype="int32")
+            x = np.stack(v.to_numpy()).astype("float64")
+            x = _unit(x) if metric == "cosine" else x
+            return pd.Series(((centroids**2).sum(1) - 2 * x @ centroids.T).argmin(1).astype("int32"))
+
+        # only usable vectors reach the function: the others get no cell
+        usable = rows.where(V.usable(S.col(self.vector), self.centroids.shape[1]))
+        return usable.withColumn("cid", nearest(S.col(self.vector)))
+
+    def _with(self, df: DataFrame) -> IvfIndex:
+        return type(self)(df, self.id, self.vector, self.metric, self.centroids, self.nprobe)
+
+    def add(self, rows: DataFrame) -> IvfIndex:
+        """Upsert by id: rows come without a cell and go to that of the nearest centroid; unusable ones only take out the old row."""
+        kept = self.df.join(rows.select(self.id), self.id, "left_anti").select(*self.df.columns)
+        return self._with(kept.unionByName(self._cells(rows).select(*self.df.columns)))
+
+    def remove(self, ids: DataFrame) -> IvfIndex:
+        return self._with(super().remove(ids).df)
+
     def probes(self, q: Sequence[float]) -> list[int]:
         x = np.array(V.check_vector(q))
         x = x / (np.linalg.norm(x) or 1) if self.metric == "cosine" else x
@@ -141,10 +168,10 @@ class IvfIndex(ExactIndex):
         meta = {"id": self.id, "vector": self.vector, "metric": self.metric, "nprobe": self.nprobe, "centroids": self.centroids.tolist()}
         self.df.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
-    @staticmethod
-    def load(spark: Any, path: str) -> IvfIndex:
+    @classmethod
+    def load(cls, spark: Any, path: str) -> IvfIndex:
         m = json.loads(spark.read.parquet(f"{path}/model").first()[0])
-        return IvfIndex(spark.read.parquet(f"{path}/cells"), m["id"], m["vector"], m["metric"], np.array(m["centroids"]), m["nprobe"])
+        return cls(spark.read.parquet(f"{path}/cells"), m["id"], m["vector"], m["metric"], np.array(m["centroids"]), m["nprobe"])
 
 
 class GraphIndex(IvfIndex):
@@ -152,5 +179,12 @@ class GraphIndex(IvfIndex):
     Spark has no navigable graph, and a full probe gives a superset of what one would find."""
 
     @staticmethod
-    def build(df: DataFrame, id_column: str = "id", vector: str = "vector", metric: str = "cosine", **_: Any) -> ExactIndex:
-        return ExactIndex(df, id_column, vector, metric)
+    def build(df: DataFrame, id_column: str = "id", vector: str = "vector", metric: str = "cosine", **_: Any) -> GraphIndex:
+        return GraphIndex(df.where(V.usable(S.col(vector))).withColumn("cid", S.lit(0)), id_column, vector, metric, np.zeros((1, 1)), 1)
+
+    def probes(self, q: Sequence[float]) -> list[int]:
+        """There is one cell."""
+        return [0]
+
+    def _cells(self, rows: DataFrame) -> DataFrame:
+        return rows.where(V.usable(S.col(self.vector))).withColumn("cid", S.lit(0))
