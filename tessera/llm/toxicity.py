@@ -1,39 +1,51 @@
 """Toxicity: a support vector machine over a subsequence string kernel with Nystroem landmarks.
 
 The kernel of two words sums, over all triples of letters that both hold as subsequences, the product of decay^span of
-their occurrences (spans up to `SPAN` letters), so that gaps and inserted characters lower a match but don't end it. A
-text's score is that of its worst word (a bag with one guilty instance), so long texts don't dilute an insult. Letters
-are lower-cased, punctuation is skipped, runs of single letters set apart by spaces are read as one word, and every word
-has a mark at its begin and its end, which count as letters.
+their occurrences (spans up to `SPAN` letters), so that gaps and inserted characters lower a match but don't end it.
+Letters are lower-cased, punctuation is skipped, runs of single letters set apart by spaces are read as one word, and
+every word has a mark at its begin and its end, which count as letters; words of one or two letters don't count.
 
-Training takes at most `MAX_TRAIN` labelled texts of either class on the driver (a documented bound): the guilty word of
-each toxic text starts as the one that most toxic and no clean texts hold, and is chosen anew by the model in a few
-rounds. As the Nystroem model is linear in the landmarks' subsequences, it folds into one weight for each letter triple,
-a table of fixed size that is broadcast; scoring is a map over the documents in numpy.
+A text's probability is logistic in the machine's values of its `WORST` worst different words and in the logarithm of
+how many different words it has (the worst of many is higher by chance), the latter held to the range seen in training.
+
+Training takes at most `MAX_TRAIN` labelled texts of either class, of at most `MAX_BYTES` of different words together
+(documented bounds; texts beyond them are passed over in the order of a hash of doc_id), reduced to their different
+words on the executors. Words that toxic texts hold far more often than chance has it are guilty, and so is the word of
+each toxic text that the machine of the round before found worst. As the Nystroem model is linear in the landmarks'
+subsequences, it folds into one weight for each letter triple, a table of fixed size that is broadcast; scoring is a map
+over the documents in numpy, each different word of a chunk once.
 
 Null and empty texts get the score of a text without words. Labels that are null, or without a text, are left out;
-without labels of both classes every text scores 0. Copies score alike; extra columns are ignored.
+of several texts with one labelled doc_id one is learnt from. Without labels of both classes every text scores next to 0. Copies
+score alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import chunks, texts
+from tessera.llm.arrow import chunks, small, texts
+from tessera.llm.words import BYTE, POWER, mix
+from tessera.sources.stage import staged
 
 LETTERS = 80
 FIRST, LAST = 78, 79
 SPAN = 6
 DECAY = 0.7
 MAX_TRAIN = 3000
+MAX_BYTES = 24_000_000
+SURE = 16.0
+WORST = 3
+FLOOR = -2.0  # value of the words that a text lacks
 LANDMARKS = 150
 NEGATIVES = 6_000
 ROUNDS = 5
@@ -174,67 +186,81 @@ def _points(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(lens)])
 
 
-def train(samples: list[tuple[str, int]], seed: int = 7) -> dict:
+def train(samples: Iterable[tuple[str, int]], seed: int = 7) -> dict:
     """The model of labelled texts: triple weights, and the slope and intercept of its probability."""
+    return learn(((" ".join(sorted(_split(t))), y) for t, y in samples), seed)
+
+
+def learn(samples: Iterable[tuple[str, int]], seed: int = 7) -> dict:
+    """The same of each text's distinct words, separated by blanks. Equal sets of words with equal labels count once."""
     rng = np.random.default_rng(seed)
-    bags, seen = [], set()
+    place: dict[str, int] = {}
+    seen: set[bytes] = set()
+    bags: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     for t, y in samples:
-        own = {w for w in _split(t) if len(w) > 2}
-        key = (frozenset(own), y)
+        own = np.array(sorted(place.setdefault(w, len(place)) for w in t.split() if len(w) > 2), np.int32)
+        key = hashlib.blake2b(own.tobytes(), digest_size=12, salt=b"01"[int(y) :][:1]).digest()
         if key not in seen:
             seen.add(key)
-            bags.append((own, int(y)))
-    pos, neg = [b for b, y in bags if y], [b for b, y in bags if not y]
+            bags[int(y)].append(own)
+    neg, pos = bags
     if not pos or not neg:
-        return {"weights": np.zeros(LETTERS**3, np.float32), "slope": 0.0, "offset": -50.0}
-    in_pos, in_neg = Counter(w for b in pos for w in b), Counter(w for b in neg for w in b)
-    vocabulary = sorted(set(in_pos) | set(in_neg))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    f = Words(vocabulary)
-    clean = np.array([in_neg[w] > 0 for w in vocabulary])
-    held = np.array([in_neg[w] or in_pos[w] for w in vocabulary], float)  # texts that hold a word
-    bag_words = [np.array(sorted(place[w] for w in b)) for b in pos]
-    odds = np.array([np.log((in_pos[w] + 0.1) / (in_neg[w] * len(pos) / len(neg) + 0.5)) for w in vocabulary])
-    guilty = np.full(len(vocabulary), False)
-    for own in bag_words:
-        own = own[~clean[own]] if len(own) else own
-        if len(own):
-            best = own[np.argmax(odds[own])]
-            if in_pos[vocabulary[best]] >= min(3, max(2, len(pos) // 40)):
-                guilty[best] = True
+        return {"weights": np.zeros(LETTERS**3, np.float32), "bias": 0.0, "by": np.zeros(WORST + 1), "lengths": (0.0, 0.0), "slope": 0.0, "offset": -800.0}
+    in_pos, in_neg = (np.bincount(np.concatenate(b), minlength=len(place)).astype(float) for b in (pos, neg))
+    f = Words(list(place))
+    held = np.where(in_neg > 0, in_neg, in_pos)  # texts that hold a word
+    strong = _strong(in_pos, in_neg, len(pos), len(neg))
+    clean = (in_neg > 0) & ~strong
+    suspects = [own[~clean[own]] for own in pos]
+    guilty = strong.copy()
     if not guilty.any():
-        for own in bag_words:
+        odds = np.log((in_pos + 0.1) / (in_neg * len(pos) / len(neg) + 0.5))
+        for own in pos:
             if len(own):
                 guilty[own[np.argmax(odds[own])]] = True
     negatives = np.flatnonzero(clean)
     pool = rng.choice(negatives, min(NEGATIVES, len(negatives)), replace=False)
     weights, bias = None, 0.0
     for k in range(ROUNDS):
-        bad = np.flatnonzero(guilty)
-        weights, bias = _machine(f, bad, pool, held, rng)
+        weights, bias = _machine(f, np.flatnonzero(guilty), pool, held, rng)
         s = f.score(weights) + bias
-        hard = negatives[np.argsort(-s[negatives])[:1000]]
-        pool = np.union1d(pool, hard)
+        pool = np.union1d(pool, negatives[np.argsort(-s[negatives])[:1000]])
         if k < ROUNDS - 1:
-            fresh = np.full(len(vocabulary), False)
-            for own in bag_words:
-                own = own[~clean[own]] if len(own) else own
+            fresh = np.full(len(place), False)
+            for own in suspects:
                 if len(own):
                     fresh[own[np.argmax(s[own])]] = True
-            guilty = fresh & (s > -0.5) | guilty & (s > -0.9)
+            guilty = strong | fresh & (s > -0.5) | guilty & (s > -0.9)
             if not guilty.any():
                 break
-    best = lambda b: max((s[place[w]] for w in b), default=bias)
-    x = np.array([best(b) for b in pos + neg])
+    x = np.array([_features(s[own]) for own in pos + neg])
     y = np.array([1.0] * len(pos) + [0.0] * len(neg))
-    slope, offset = _platt(x, y)
-    return {"weights": weights.astype(np.float32), "slope": slope, "offset": slope * bias + offset}
+    lo, hi = float(x[:, -1].min()), float(x[:, -1].max())
+    by, offset = _logistic(x, y)
+    return {"weights": weights.astype(np.float32), "bias": bias, "by": by, "lengths": (lo, hi), "slope": float(by[0]), "offset": offset}
+
+
+def _features(values: np.ndarray) -> np.ndarray:
+    """The highest values of a text's words, and the logarithm of their number."""
+    worst = np.full(WORST, FLOOR)
+    top = np.sort(values)[::-1][:WORST]
+    worst[: len(top)] = np.maximum(top, FLOOR)
+    return np.append(worst, np.log1p(len(values)))
+
+
+def _strong(in_pos: np.ndarray, in_neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Words that toxic texts hold far more often than chance has it: by the log-likelihood ratio, and twenty times the rate."""
+    n = in_pos + in_neg
+    share = n_pos / (n_pos + n_neg)
+    both = in_pos * np.log(np.maximum(in_pos, 1e-9) / (n * share)) + in_neg * np.log(np.maximum(in_neg, 1e-9) / (n * (1 - share)))
+    return (2 * both >= SURE) & (in_pos / n_pos >= 20 * in_neg / n_neg)
 
 
 def _machine(f: Words, bad: np.ndarray, good: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """Landmarks, Nystroem features, and a linear machine with squared hinge loss; folded into triple weights."""
     r, guilty = f.rows(np.concatenate([bad, good])), f.rows(bad)
-    marks = np.concatenate([_spread(guilty, LANDMARKS * 2 // 3, rng), len(bad) + rng.choice(len(good), min(LANDMARKS // 3, len(good)), replace=False)])
+    often = np.argsort(-held[bad], kind="stable")[: LANDMARKS // 3]
+    marks = np.concatenate([np.union1d(often, _spread(guilty, LANDMARKS // 3, rng)), len(bad) + rng.choice(len(good), min(LANDMARKS // 3, len(good)), replace=False)])
     k = np.stack([r.apply(r.weights(i)) for i in marks], axis=1)
     km = k[marks]
     val, vec = np.linalg.eigh((km + km.T) / 2)
@@ -242,7 +268,7 @@ def _machine(f: Words, bad: np.ndarray, good: np.ndarray, held: np.ndarray, rng:
     fold = vec[:, ok] / np.sqrt(val[ok])
     z = np.hstack([k @ fold, np.ones((r.n, 1))])
     y = np.where(np.arange(r.n) < len(bad), 1.0, -1.0)
-    c = np.where(y > 0, 1.0 / max(1, len(bad)), 4.0 / len(good)) * 200 * (1 + np.log(held[np.concatenate([bad, good])]))
+    c = 200 * np.concatenate([held[bad] / held[bad].sum(), 4 * (1 + np.log(held[good])) / len(good)])
     w = np.zeros(z.shape[1])
     reg = np.eye(z.shape[1])
     reg[-1, -1] = 1e-3
@@ -273,21 +299,30 @@ def _spread(r: Rows, n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(picked)
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the probability; the slope is positive and bounded."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and offset of the probability; no value of a word may lower it, nor a smaller number of words."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a, b = 4.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r, h = p - target, np.maximum(p * (1 - p), 1e-6)
-        g = np.array([(r * x).sum() + 1e-3 * a, r.sum()])
-        m = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-        d = np.linalg.solve(m, g)
-        d /= max(1, np.abs(d).max() / 2)
-        a, b = a - d[0], b - d[1]
-        if np.abs(d).max() < 1e-6:
-            break
-    return float(np.clip(a, 0.5, 50)), float(b)
+    middle, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.hstack([(x - middle) / spread, np.ones((len(x), 1))])
+    sign = np.array([1.0] * WORST + [-1.0])
+    used = np.full(x.shape[1] + 1, True)
+    while True:
+        w = np.zeros(z.shape[1])
+        zs = z[:, used]
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            h = np.maximum(p * (1 - p), 1e-9)
+            d = np.linalg.solve((zs * h[:, None]).T @ zs + 1e-2 * np.eye(zs.shape[1]), zs.T @ (p - target) + 1e-2 * w[used])
+            w[used] -= d / max(1, np.abs(d).max() / 2)
+            if np.abs(d).max() < 1e-6:
+                break
+        wrong = used.copy()
+        wrong[:-1] &= w[:-1] * sign < 0
+        wrong[-1] = False
+        if not wrong.any():
+            by = w[:-1] / spread
+            return by, float(w[-1] - by @ middle)
+        used &= ~wrong
 
 
 _SKIPPED = re.compile("[^\\w\\s]|_|[\U00010000-\U0010ffff]")
@@ -300,39 +335,81 @@ def _split(text: str) -> set[str]:
     return set(_RUNS.sub(lambda m: m[0].replace(" ", ""), text).split())
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> list[tuple[str, int]]:
-    """At most `most` labelled training texts of either class, in the order of a hash of doc_id."""
-    rows = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, room: int = MAX_BYTES) -> list[tuple[str, int]]:
+    """(different words, label) of at most `most` labelled training texts of either class, in the order of a hash of
+    doc_id; a text whose words don't fit into what is left of its class's half of `room` bytes is passed over."""
+    rows = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).distinct()
     picked = None
     for y in (0, 1):
         part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 200):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(w for w in _split(t.as_py()) if len(w) > 2)) for t in b.column(2)], pa.string())], names=["doc_id", "toxic", "words"])
+
     # at most 2 * most rows of two integers
-    found = texts(docs).where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic", "doc_id").limit(4 * most)
-    return [(r[0], r[1]) for r in sorted(found.collect(), key=lambda r: (r[2], r[0]))]
+    found = texts(docs).where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, words string")
+    found = staged(found.groupBy("doc_id", "toxic").agg(F.min("words").alias("words")), "sample")
+    out = []
+    for y in (0, 1):
+        left = room // 2
+        for r in found.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").select("words").toLocalIterator():
+            if len(r.words) <= left:
+                left -= len(r.words)
+                out.append((r.words, y))
+    return out
+
+
+def distinct(letters: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The letters and starts of the different words, and (text, number of the word) of the different words of each text."""
+    lens = np.diff(np.append(starts, len(letters)))
+    place = np.arange(len(letters)) - np.repeat(starts, lens)
+    h = mix(np.add.reduceat(BYTE[letters] * POWER[place % len(POWER)] + (place // len(POWER)).astype(np.uint64), starts) + lens.astype(np.uint64))
+    long = lens > 4
+    h, starts, doc, lens = h[long], starts[long], doc[long], lens[long]
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    pairs = np.unique(doc.astype(np.int64) * max(1, len(first)) + number)
+    own = lens[first]
+    begin = np.cumsum(own) - own
+    take = np.repeat(starts[first] - begin, own) + np.arange(own.sum())
+    return letters[take], begin, pairs // max(1, len(first)), pairs % max(1, len(first))
+
+
+def probabilities(strings: list[str], model: dict) -> np.ndarray:
+    """The score of each text."""
+    n = len(strings)
+    x = np.full((n, WORST + 1), FLOOR)
+    x[:, -1] = 0
+    letters, starts, doc = words(*_points(strings))
+    if len(starts):
+        letters, starts, doc, number = distinct(letters, starts, doc)
+        s = np.maximum(word_scores(letters, starts, model["weights"])[number] + model["bias"], FLOOR) if len(starts) else np.empty(0)
+        order = np.lexsort((-s, doc))
+        count = np.bincount(doc, minlength=n)
+        place = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+        top = place < WORST
+        x[doc[order[top]], place[top]] = s[order[top]]
+        x[:, -1] = np.log1p(count)
+    x[:, -1] = np.clip(x[:, -1], *model["lengths"])
+    return 1 / (1 + np.exp(-np.clip(x @ model["by"] + model["offset"], -700, 700)))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, predicted of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, slope, offset = model["weights"], model["slope"], model["offset"]
-        for b in batches:
-            strings = [t or "" for t in b.column(1).to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
-            best = np.zeros(len(strings))
-            for a, z in chunks(bounds):
-                letters, starts, doc = words(*_points(strings[a:z]))
-                if len(starts):
-                    np.maximum.at(best, doc + a, word_scores(letters, starts, weights))
-            p = 1 / (1 + np.exp(-np.clip(slope * best + offset, -700, 700)))
+        for b in small(batches):
+            lens = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+            p = np.concatenate([np.empty(0), *(probabilities([t or "" for t in b.column(1).slice(a, z - a).to_pylist()], model) for a, z in chunks(bounds, 1 << 19))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return texts(docs).mapInArrow(run, RESULT)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    return train(sample(docs, labels))
+    return learn(sample(docs, labels))
 
 
 def held_out(doc_id: int) -> bool:
