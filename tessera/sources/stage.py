@@ -32,4 +32,16 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     """The DataFrame written as Parquet into the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes the files of staged tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_staged_at", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
