@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.stage import staged
+from tessera.sources.stage import release, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node id of each node's component, for edges (u, v); nodes without edges are absent."""
-    spark = edges.sparkSession
+    """(node, component): the smallest node id of each node's component, for edges (u, v); nodes without edges are absent.
+    The result is staged."""
     edges = staged(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
@@ -25,15 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(hook)
         a, b = hook.select(F.col("node").alias("u"), F.col("p").alias("pu")), hook.select(F.col("node").alias("v"), F.col("p").alias("pv"))
         step = edges.join(a, "u").join(b, "v").where("pu <> pv")
-        edges = staged(step.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
-    if not rounds:
-        return spark.createDataFrame([], "node long, component long")
-    out = rounds[0]
+        before, edges = edges, staged(step.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        release(before)
+    out = rounds[0] if rounds else edges.select(F.col("u").alias("node"), F.col("v").alias("p"))
     for r in rounds[1:]:
         out = out.join(r.select(F.col("node").alias("p"), F.col("p").alias("q")), "p", "left").select("node", F.coalesce("q", "p").alias("p"))
-    return _smallest(out)
-
-
-def _smallest(out: DataFrame) -> DataFrame:
-    """Roots are the smallest of their component already, as hooks only go down; this only renames."""
-    return out.select("node", F.col("p").alias("component"))
+    # roots are the smallest of their component already, as hooks only go down
+    out = staged(out.select("node", F.col("p").alias("component")), "components")
+    release(edges, *rounds)
+    return out

@@ -6,17 +6,21 @@ By the prefix principle two similar sets share a shingle in their first n - ceil
 prefixes that are m - 1 longer. Each document chooses its m by estimated cost: a longer prefix means more list entries
 to scan, more required matches mean fewer candidates to verify. Two documents then share min(m, m') prefix shingles.
 
-1. Prefix postings are packed in numpy and dealt by shingle; shingles of one node only drop out. (The largest shuffle.)
-2. Each list offers its members two hubs of other components, each member keeps a few that it meets most often; these
-   pairs are verified and give first components. While the lists still hold many pairs of different components, this is
-   done again with other hubs, as long as that halves them. So a group of thousands of near copies costs a few pairs for each copy, not all pairs.
-3. Only pairs of different components remain: lists emit them with counts, only shingles in the prefixes
-   that the sizes of both call for count; those with too few drop out, the rest is verified on the full sets, and
-   components are final.
-
-The number of turns changes the work, not the result. Links inside a component that step 2 found are implied, none between different components is lost. Null and empty texts
-and texts without words have empty sets and link with nothing; texts under 5 words are one shingle. Rows given twice are
-equal sets. Extra columns are ignored.
+Each set has an odd sketch: about one bit for each shingle, each the parity of how many shingles hash to it. Bits that
+differ never outnumber the shingles that only one of two sets has, so a pair with too many of them can't be similar.
+
+1. Prefix postings are packed in numpy and dealt by shingle, those of frequent shingles also by a salt of the node;
+   shingles of one node only drop out. (The largest shuffle.)
+2. Each list offers its members two hubs of other components, of those that pass the place, size and sketch bounds each
+   member keeps a few; these pairs are verified and give first components. Where that links many, it is done again with
+   other hubs. So a group of thousands of near copies costs a few pairs for each copy, not all pairs.
+3. Only pairs of different components remain: lists emit those that pass the same bounds; pairs with too few common
+   shingles in the prefixes drop out, the rest is verified on the full sets, and components are final. Lists over
+   `BLOCK` entries are split into pairs of blocks, the largest component of a list apart from the others.
+
+The number of turns changes the work, not the result. Links inside a component that step 2 found are implied, none
+between different components is lost. Null and empty texts and texts without words have empty sets and link with nothing;
+texts under 5 words are one shingle. Rows given twice are equal sets. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from tessera.llm import bits
 from tessera.llm.arrow import chunks, flat, partitions, texts
 from tessera.llm.components import components
 from tessera.llm.words import SPACE_WORDS, mix, shingles, tokens
-from tessera.sources.stage import staged
+from tessera.sources.stage import release, staged
 
 U = np.uint64
 K = 5
@@ -40,10 +44,12 @@ COUNTERS = 1 << 24
 SLICES = 64
 MATCHES = 4
 VERIFY_COST = 30.0
-HUBS = 4
-TURNS = 5
-ENOUGH = 2  # pairs for each list entry, from which another turn costs more than it saves
-SETS = "doc_id long, n_shingles long, node long, node2 long"
+HUBS = 3
+TURNS = 4
+SALTED = 600  # documents a list, beyond which it is salted
+BLOCK = 1000
+SKETCH_BITS = 1 << 15
+SETS = "doc_id long, n_shingles long, node long, node2 long, text_key long, sketch binary"
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,20 +75,31 @@ def nodes(doc: np.ndarray, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
     return mix(a + size.astype(U)), mix(b)
 
 
+def sketches(doc: np.ndarray, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes on end, offsets) of the odd sketch of each set."""
+    bits_ = np.where(size > 0, np.minimum(SKETCH_BITS, np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))), 0)
+    ends = np.cumsum(bits_)
+    at = (ends - bits_)[doc] + (mix(s ^ U(0x5851F42D4C957F2D)).astype(np.int64) & (bits_[doc] - 1))
+    odd = (np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little"), np.append(0, ends // 8)
+
+
 def _each(batches: Iterator[pa.RecordBatch], k: int):
     for b in batches:
         data, offsets = flat(b.column(1))
         for a, z in chunks(offsets):
             doc, s, size = sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], k)
-            yield b.column(0).slice(a, z - a), doc, s, size, nodes(doc, s, size)
+            yield b.slice(a, z - a), doc, s, size, nodes(doc, s, size)
 
 
 def set_keys(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles and the node of its set (two 64-bit halves)."""
+    """doc_id, n_shingles, the node of its set (two 64-bit halves), a hash of the text, and the set's sketch."""
 
     def run(batches):
-        for ids, _, _, size, (a, b) in _each(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n_shingles", "node", "node2"])
+        for b, doc, s, size, (x, y) in _each(batches, k):
+            data, offsets = sketches(doc, s, size)
+            sketch = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(2), sketch], names=["doc_id", "n_shingles", "node", "node2", "text_key", "sketch"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -138,10 +155,11 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-3 * n // 4)
 
 
-def prefixes(doc: np.ndarray, s: np.ndarray, size: np.ndarray, levels: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into s of the prefix shingles, chosen number of matches of each text, place of each prefix shingle)."""
+def prefixes(doc: np.ndarray, s: np.ndarray, size: np.ndarray, levels: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index into s of the prefix shingles, chosen number of matches of each text, place of each prefix shingle, about
+    how many documents hold it)."""
     if not len(s):
-        return np.empty(0, np.int64), np.ones(len(size), np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.ones(len(size), np.int64), np.empty(0, np.int64), np.empty(0)
     est = np.maximum(1.0, COUNT_OF[levels[counter(s)]] - noise)
     rank = np.minimum(np.log2(est), 30).astype(U)
     # frequent shingles last; the document in the top bits keeps texts apart
@@ -158,39 +176,43 @@ def prefixes(doc: np.ndarray, s: np.ndarray, size: np.ndarray, levels: np.ndarra
         best = np.minimum(c, best)
     length = np.where(size > 0, np.minimum(size, size - t + chosen), 0)
     at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    return order[at], chosen, at - np.repeat(begin, length)
+    return order[at], chosen, at - np.repeat(begin, length), est[order[at]]
 
 
-POSTING = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])  # size holds the matches in its top 4 bits
+#: size holds the matches in its top 4 bits, place a mark of salted lists in its top bit
+POSTING = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
+LISTS = "token long, salt int, node long, size long, matches int, place int"
 
 
 def postings(docs: DataFrame, levels: np.ndarray, k: int, buckets: int) -> DataFrame:
-    """(bucket, entries): packed prefix postings."""
+    """(bucket, entries): packed prefix postings; the bucket of salted ones is salt * buckets more."""
     noise = float(COUNT_OF[int(np.median(levels))]) * 1.5 + 2
 
     def run(batches):
         for _, doc, s, size, (node, _) in _each(batches, k):
-            at, m, place = prefixes(doc, s, size, levels, noise)
+            at, m, place, held = prefixes(doc, s, size, levels, noise)
             if not len(at):
                 continue
             rows = np.empty(len(at), POSTING)
-            h = mix(s[at])
+            h, own = mix(s[at]), doc[at]
             rows["token"] = (h & U(0xFFFFFFFF)).astype(np.uint32)
-            rows["node"] = node.view(np.int64)[doc[at]]
-            rows["size"] = np.minimum(size[doc[at]], (1 << 28) - 1) | (m[doc[at]] << 28)
-            rows["place"] = place
+            rows["node"] = node.view(np.int64)[own]
+            rows["size"] = np.minimum(size[own], (1 << 28) - 1) | (m[own] << 28)
+            salts = np.ceil(held / SALTED).astype(np.int64)
+            rows["place"] = place | ((salts > 1) << 31)
             bucket = (h >> U(32)).astype(np.int64) % buckets
+            bucket += buckets * ((mix(node[own] ^ h) >> U(1)).astype(np.int64) % np.maximum(salts, 1))
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             parts = [p.tobytes() for p in np.split(rows, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(parts, pa.binary())], names=["bucket", "entries"])
 
-    return docs.mapInArrow(run, "bucket int, entries binary")
+    return docs.mapInArrow(run, "bucket long, entries binary")
 
 
-def lists(packed: DataFrame, parts: int) -> DataFrame:
-    """(token, node, size, matches, place) of shingles that two nodes or more have in their prefixes."""
+def lists(packed: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """The entries of shingles that two nodes or more have in their prefixes."""
 
     def flush(held: list[bytes], bucket: int):
         rows = np.frombuffer(b"".join(held), POSTING)
@@ -200,11 +222,11 @@ def lists(packed: DataFrame, parts: int) -> DataFrame:
         rows = rows[new]
         first = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
         n = np.diff(np.append(first, len(rows)))
-        rows = rows[np.repeat(n > 1, n)]
-        token = (np.int64(bucket) << 32) | rows["token"].astype(np.int64)
+        rows = rows[np.repeat(n > 1, n) | (rows["place"] >> 31 > 0)]
+        token = (np.int64(bucket % buckets) << 32) | rows["token"].astype(np.int64)
         for a in range(0, len(rows), 100_000):
             r = rows[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(r["node"]), pa.array((r["size"] & ((1 << 28) - 1)).astype(np.int64)), pa.array((r["size"] >> 28).astype(np.int32)), pa.array(r["place"].astype(np.int32))], names=["token", "node", "size", "matches", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(np.full(len(r), bucket // buckets, np.int32)), pa.array(r["node"]), pa.array((r["size"] & ((1 << 28) - 1)).astype(np.int64)), pa.array((r["size"] >> 28).astype(np.int32)), pa.array((r["place"] & ((1 << 31) - 1)).astype(np.int32))], names=["token", "salt", "node", "size", "matches", "place"])
 
     def run(batches):
         held, bucket = [], -1
@@ -218,30 +240,31 @@ def lists(packed: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from flush(held, bucket)
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, node long, size long, matches int, place int")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, LISTS)
 
 
 def full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
-    """(node, shingles): the packed sorted sets of the nodes in a bitmap (and a few more), once for each node."""
+    """(node, shingles): the packed sorted sets of the texts whose hashes are in a bitmap (and a few more), once for each node."""
 
     def run(batches):
         seen: set[int] = set()
-        for _, doc, s, size, (node, _) in _each(batches, k):
-            begin = np.cumsum(size) - size
-            pick = np.flatnonzero((size > 0) & bits.has(wanted, node.view(np.int64)))
-            out = [i for i in pick.tolist() if int(node[i]) not in seen]
-            if len(seen) < 200_000:
-                seen.update(int(node[i]) for i in out)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[out]), pa.array([s[begin[i] : begin[i] + size[i]].tobytes() for i in out], pa.binary())], names=["node", "shingles"])
+        for b in batches:
+            b = b.filter(pa.array(bits.has(wanted, b.column(2).to_numpy())))
+            for _, doc, s, size, (node, _) in _each([b], k):
+                begin = np.cumsum(size) - size
+                out = [i for i in np.flatnonzero(size > 0).tolist() if int(node[i]) not in seen]
+                if len(seen) < 200_000:
+                    seen.update(int(node[i]) for i in out)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[out]), pa.array([s[begin[i] : begin[i] + size[i]].tobytes() for i in out], pa.binary())], names=["node", "shingles"])
 
     return docs.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar."""
-    pairs = staged(pairs, "pairs")
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-    own = full_sets(docs, bits.collect_bits(ends, "node"), k)
+def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar. pairs is a staged table."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    chosen = keys.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    own = full_sets(docs, bits.collect_bits(chosen, "text_key"), k)
     a, b = own.select(F.col("node").alias("u"), F.col("shingles").alias("x")), own.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
 
     def run(batches):
@@ -266,104 +289,179 @@ def labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found.join(labels, "node", "left").select(*found.columns, F.coalesce("component", "node").alias("label"))
 
 
-def stars(found: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """For each node up to HUBS partners of other components. Each list that holds two components or more has two hubs,
-    from its smallest and its largest component, drawn by a hash that changes with the turn; those that a node meets in
-    the most lists come first."""
-    rows = labelled(found, labels)
-    member = F.struct("label", F.xxhash64("node", F.lit(turn)).alias("draw"), "node")
-    hubs = rows.groupBy("token").agg(F.min(member).alias("a"), F.max(member).alias("z")).where("a.label <> z.label")
-    met = rows.join(hubs, "token").select("node", "label", F.explode(F.array("a", "z")).alias("hub")).where("label <> hub.label")
-    counted = met.groupBy(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"), "node").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "u", "v"))).where(F.col("place") <= HUBS)
-    return best.select("u", "v").distinct()
+class Entries:
+    """Entries of whole groups: number of the group, and the columns node, size, matches, place, label, sketch."""
+
+    def __init__(self, t: pa.Table, group: np.ndarray):
+        self.group = group
+        self.node, self.size, self.matches, self.place, self.label = (t.column(c).to_numpy() for c in ("node", "size", "matches", "place", "label"))
+        sketch = t.column("sketch").combine_chunks().cast(pa.large_binary())
+        _, off, data = sketch.buffers()
+        offsets = np.frombuffer(off, np.int64, len(sketch) + 1, sketch.offset * 8)
+        self.flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(U)
+        self.at = (offsets[:-1] - offsets[0]) // 8
+        self.words = np.diff(offsets) // 8
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs can be similar by size, by the places of the common shingle, and by their sketches."""
+        swap = self.size[i] > self.size[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        a, b = self.size[i], self.size[j]
+        # a similar pair has at least so many common shingles, so the first n - common + m of both hold m of them
+        common, need = -(-3 * (a + b) // 7), np.minimum(self.matches[i], self.matches[j])
+        out = (3 * b <= 4 * a) & (self.place[i] < a - common + need) & (self.place[j] < b - common + need)
+        at = np.flatnonzero(out)
+        out[at] = self._odd(i[at], j[at]) <= (a + b - 2 * common)[at]
+        return out
+
+    def _odd(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bits of the sketches differ, the longer one folded; i has the smaller sets."""
+        out = np.zeros(len(i), np.int64)
+        row = np.zeros(len(self.words), np.int64)
+        for w in np.unique(self.words[i]).tolist():
+            pick = np.flatnonzero(self.words[i] == w)
+            same, twice = np.flatnonzero(self.words == w), np.flatnonzero(self.words == 2 * w)
+            row[same], row[twice] = np.arange(len(same)), len(same) + np.arange(len(twice))
+            folded = self.flat[self.at[twice][:, None] + np.arange(2 * w)].reshape(-1, 2, w)
+            table = np.concatenate([self.flat[self.at[same][:, None] + np.arange(w)], folded[:, 0] ^ folded[:, 1]])
+            step = max(1, (1 << 18) // w)
+            for a in range(0, len(pick), step):
+                p = pick[a : a + step]
+                out[p] = np.bitwise_count(table[row[i[p]]] ^ table[row[j[p]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: list[str], most_rows: int = 20_000, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the number of each row's group; rows come sorted by the columns `by`."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool):
+        t = pa.Table.from_batches(held)
+        new = np.full(len(t), False)
+        for c in by:
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        z = len(t) if last else int(starts[-1]) if len(starts) else 0
+        held.clear()
+        if z < len(t):
+            held.extend(t.slice(z).combine_chunks().to_batches())
+        if z:
+            yield t.slice(0, z).combine_chunks(), np.cumsum(new[:z])
+
+    for b in batches:
+        step = max(1, most_rows * len(b) // max(most_rows, len(b), most_rows * b.nbytes // most_bytes))
+        for a in range(0, len(b), step):
+            held.append(b.slice(a, step))
+            if sum(map(len, held)) >= most_rows or sum(x.nbytes for x in held) >= most_bytes:
+                yield from cut(False)
+    if sum(map(len, held)):
+        yield from cut(True)
 
 
-def open_pairs(found: DataFrame, labels: DataFrame | None) -> tuple[int, int]:
-    """(pairs of different components that the lists would emit, list entries)."""
-    sizes = labelled(found, labels).groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    lists_ = sizes.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    r = lists_.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-    return int(r[0] or 0), int(r[1] or 0)
+ENTRY = ["node", "size", "matches", "place", "label", "sketch"]
 
 
-def rest(found: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """Pairs of nodes of different components with enough shared prefix shingles and similar sizes."""
+def stars(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, turn: int, parts: int) -> DataFrame:
+    """For each node up to HUBS partners of other components that pass the bounds. Each list that holds two components or
+    more has two hubs of different components, those with the smallest hash of node and turn."""
     rows = labelled(found, labels)
-    mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("token")
-    rows = rows.join(mixed, "token")
-
-    def flush(t: pa.Table):
-        size, node, label, m, place = (t.column(i).to_numpy() for i in (2, 1, 5, 3, 4))
-        order = np.argsort(size, kind="stable")
-        size, node, label, m, place = size[order], node[order], label[order], m[order], place[order]
-        end = np.searchsorted(size, size * 4 // 3, "right")
-        block = 512
-        for a in range(0, len(size), block):
-            own = np.arange(a, min(a + block, len(size)))
-            n = end[own] - own - 1
-            n = np.maximum(n, 0)
-            i = np.repeat(own, n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            ok = label[i] != label[j]
-            i, j = i[ok], j[ok]
-            # a similar pair has a >= 3/7 (n + n') common shingles, so the first n - a + m of both hold m of them
-            common, need = -(-3 * (size[i] + size[j]) // 7), np.minimum(m[i], m[j])
-            ok = (place[i] < size[i] - common + need) & (place[j] < size[j] - common + need)
-            i, j, need = i[ok], j[ok], need[ok]
-            if len(i):
-                u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(need.astype(np.int32))], names=["u", "v", "need"])
+    if labels is not None:
+        mixed = rows.groupBy("token", "salt").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("token", "salt")
+        rows = rows.join(mixed, ["token", "salt"])
 
     def run(batches):
-        held, token = [], None
-        for b in batches:
-            t = b.column(0).to_numpy()
-            cut = np.flatnonzero(t[1:] != t[:-1]) + 1 if len(t) else []
-            for a, z in zip([0, *cut], [*cut, len(t)]):
-                if z == a:
-                    continue
-                if held and t[a] != token:
-                    yield from flush(pa.Table.from_batches(held))
-                    held = []
-                token = t[a]
-                held.append(b.slice(a, z - a))
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    def joined(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n > 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        for t, group in _grouped(batches, ["token", "salt"]):
+            e = Entries(t, group)
+            draw = mix(e.node.view(U) + U(turn) * U(0x9E3779B97F4A7C15)) >> U(1)
+            order = np.lexsort((e.node, draw, group))
+            first = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]  # a group's hub, by its number
+            other = order[e.label[order] != e.label[first[group[order]]]]
+            second = np.full(len(first), -1)
+            if len(other):
+                second[group[other][::-1]] = other[::-1]
+            member, hub = np.concatenate([np.arange(len(group))] * 2), np.concatenate([first[group], second[group]])
+            ok = (hub >= 0) & (e.label[member] != e.label[hub])
+            member, hub = member[ok], hub[ok]
+            ok = e.near(member, hub)
+            member, hub = member[ok], hub[ok]
+            _, once = np.unique(np.stack([e.node[member], e.node[hub]], 1), axis=0, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e.node[member[once]]), pa.array(e.node[hub[once]]), pa.array(draw[hub[once]].view(np.int64))], names=["node", "hub", "draw"])
+
+    dealt = rows.join(shapes, "node").select("token", "salt", *ENTRY).repartition(parts, "token", "salt").sortWithinPartitions("token", "salt")
+    met = dealt.mapInArrow(run, "node long, hub long, draw long").distinct()
+    best = met.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("draw", "hub"))).where(F.col("n") <= HUBS)
+    return best.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
+def rest(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, parts: int) -> DataFrame:
+    """Pairs of nodes of different components that pass the bounds and share enough prefix shingles."""
+    rows = labelled(found, labels)
+    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    info = sizes.groupBy("token").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    info = info.select("token", F.col("top.label").alias("main"), F.when(F.col("all") > BLOCK, blocks(F.col("top.c"))).otherwise(0).alias("main_blocks"), F.when(F.col("all") > BLOCK, blocks(F.col("all") - F.col("top.c"))).otherwise(0).alias("blocks"))
+    rows = rows.join(shapes, "node").join(info, "token")
+    # (first block, second block, side): each pair of entries meets under one key, on different sides or, side 2, in one block
+    key = lambda a, z, side: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"), side.cast("int").alias("side"))
+    own = lambda n: F.pmod(F.xxhash64("node", "token"), F.greatest(n, F.lit(1))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    b = own(F.col("blocks"))
+    among = F.transform(upto(F.col("blocks")), lambda x: key(F.least(x, b), F.greatest(x, b), F.when(x == b, 2).when(x < b, 1).otherwise(0)))
+    across = F.transform(upto(F.col("main_blocks")), lambda x: key(b, F.col("blocks") + x, F.lit(0)))
+    of_main = F.transform(upto(F.col("blocks")), lambda x: key(x, F.col("blocks") + own(F.col("main_blocks")), F.lit(1)))
+    keys = F.when(F.col("blocks") == 0, F.array(key(F.lit(0), F.lit(0), F.lit(2)))).when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(among, across))
+    dealt = rows.select("token", F.explode(keys).alias("k"), *ENTRY).select("token", "k.a", "k.z", "k.side", *ENTRY).repartition(parts, "token", "a", "z").sortWithinPartitions("token", "a", "z")
 
-    dealt = rows.select("token", "node", "size", "matches", "place", "label").repartition(parts, "token").sortWithinPartitions("token")
-    pairs = dealt.mapInArrow(joined, "u long, v long, need int")
+    def run(batches):
+        for t, group in _grouped(batches, ["token", "a", "z"]):
+            e, side = Entries(t, group), t.column("side").to_numpy()
+            order = np.lexsort((e.size, group))
+            top = int(e.size.max()) * 2 + 2
+            place = group[order].astype(np.int64) * top + e.size[order]
+            n = np.maximum(0, np.searchsorted(place, group[order].astype(np.int64) * top + e.size[order] * 4 // 3, "right") - np.arange(len(order)) - 1)
+            ends = np.cumsum(n)
+            a = 0
+            while a < len(order):  # blocks of about 200,000 pairs
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 200_000, "right")))
+                m = n[a:z]
+                i = np.repeat(np.arange(a, z), m)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+                i, j = order[i], order[j]
+                ok = (e.label[i] != e.label[j]) & ((side[i] == 2) | (side[i] != side[j]))
+                i, j = i[ok], j[ok]
+                ok = e.near(i, j)
+                i, j = i[ok], j[ok]
+                a = z
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(e.node[i], e.node[j])), pa.array(np.maximum(e.node[i], e.node[j])), pa.array(np.minimum(e.matches[i], e.matches[j]))], names=["u", "v", "need"])
+
+    pairs = dealt.mapInArrow(run, "u long, v long, need int")
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("u", "v")
 
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    docs = texts(docs)
+    docs = texts(docs).withColumn("text_key", F.xxhash64("text"))
     parts = partitions(docs)
     keys = staged(set_keys(docs, k), "sets")
-    found = staged(lists(postings(docs, frequencies(docs, k), k, 4 * parts), parts), "lists")
-    near, first, before = None, None, open_pairs(found, None)[0]
+    found = staged(lists(postings(docs, frequencies(docs, k), k, 4 * parts), parts, 4 * parts), "lists")
+    shapes = keys.where("n_shingles > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    links, first = [], None
     for turn in range(TURNS):
-        links = verified(stars(found, first, turn), docs, k)
-        near = links if near is None else near.unionByName(links)
-        first = staged(components(near), "components")
-        pairs, entries = open_pairs(found, first)
-        if pairs <= ENOUGH * entries or 2 * pairs > before:
+        pairs = staged(stars(found, first, shapes, turn, parts), "pairs")
+        links.append(verified(pairs, docs, keys, k))
+        offered, new = pairs.count(), links[-1].count()
+        release(pairs)
+        if new:
+            release(first)
+            first = components(_all(links))
+        if 4 * new < offered or not new:
             break
-        before = pairs
-    more = verified(rest(found, first, parts), docs, k)
-    labels = components(near.unionByName(more)) if not more.isEmpty() else first
+    pairs = staged(rest(found, first, shapes, parts), "pairs")
+    links.append(verified(pairs, docs, keys, k))
+    labels = components(_all(links))
+    release(pairs, found, first, *links)
     same = keys.where("n_shingles > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("rep"))
     named = same.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -372,5 +470,12 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     return out.unionByName(keys.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

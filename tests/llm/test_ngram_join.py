@@ -58,3 +58,61 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert ngram_join.join(spark.createDataFrame([], KIND)).count() == 0
+
+
+def near_copies(seed, n=250):
+    """One group of near copies of a passage, most of them linked with most others, among other texts."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            t[r.randrange(len(t))] = f"x{r.randrange(10_000)}"
+        out.append((i, " ".join(t), "x", 1))
+    return out + [(n + i, " ".join(f"o{r.randrange(400)}" for _ in range(30)), "x", 1) for i in range(50)]
+
+
+def test_large_group_in_blocks(spark, monkeypatch):
+    rows = near_copies(3)
+    want = brute(rows)
+    df = spark.createDataFrame(rows, KIND).repartition(6)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()} == want
+    # lists are salted and split, with the sizes of the fixture
+    monkeypatch.setattr(ngram_join, "SALTED", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK", 30)
+    for turns in (2,):
+        monkeypatch.setattr(ngram_join, "TURNS", turns)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()} == want
+
+
+def test_odd_sketches_never_exceed_the_difference():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.sort(r.choice(pool, n, replace=False)) for n in (5, 40, 64, 65, 100, 129, 300, 700, 900, 1025)]
+    doc, s, size = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), np.array([len(x) for x in sets])
+    data, at = ngram_join.sketches(doc, s, size)
+    n = len(sets)
+    zero = pa.array(np.zeros(n, np.int64))
+    t = pa.table({"node": zero, "size": pa.array(size), "matches": zero, "place": zero, "label": zero, "sketch": pa.array([data[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+    e = ngram_join.Entries(t, np.zeros(n, np.int64))
+    pairs = [(i, j) for i in range(n) for j in range(n) if size[i] <= size[j] and e.words[j] in (e.words[i], 2 * e.words[i])]
+    i, j = map(np.array, zip(*pairs))
+    odd = e._odd(i, j)
+    for a, b, d in zip(i, j, odd):
+        assert d <= len(np.setxor1d(sets[a], sets[b])) and (a != b or d == 0)
+
+
+def test_shared_passages_and_repeated_rows(spark):
+    """A long passage in many texts, equal rows, null and repeated ids."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, f"{passage} " + " ".join(f"o{i}x{k}" for k in range(12 + i % 9)), "x", 1) for i in range(150)]
+    rows += [(5, rows[5][1], "x", 1), (None, rows[7][1], "x", 1), (None, "alone in the world of words", "x", 1), (700, passage, "x", 1), (701, passage.upper(), "x", 1)]
+    got = ngram_join.join(spark.createDataFrame(rows, KIND).repartition(5)).collect()
+    assert len(got) == len(rows)
+    want = brute([r for r in rows if r[0] is not None])
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted([str(want[7][1]), "None"])
