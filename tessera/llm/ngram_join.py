@@ -9,11 +9,12 @@ to scan, more required matches mean fewer candidates to verify. Two documents th
 Each set has an odd sketch: about one bit for each shingle, each the parity of how many shingles hash to it. Bits that
 differ never outnumber the shingles that only one of two sets has, so a pair with too many of them can't be similar.
 
-1. Prefix postings are packed in numpy and dealt by shingle, those of frequent shingles also by a salt of the node;
-   shingles of one node only drop out. (The largest shuffle.)
-2. Each list offers its members two hubs of other components, of those that pass the place, size and sketch bounds each
-   member keeps a few; these pairs are verified and give first components. Where that links many, it is done again with
-   other hubs. So a group of thousands of near copies costs a few pairs for each copy, not all pairs.
+1. Prefix postings are packed in numpy and dealt by shingle, those of frequent shingles also by a salt of the node.
+   Entries without a partner in their list that can be similar, by sizes and places, drop out. (Salted lists stay whole.)
+2. Each list offers its members two hubs of other components; of those that pass the place, size and sketch bounds each
+   member keeps a few; these pairs are verified and give first components. So a group of thousands of near copies costs a
+   few pairs for each copy, not all pairs. Then only entries stay that have a partner of another component which passes
+   the bounds, usually few, and with wider sketches and other hubs this is done again as long as it links many.
 3. Only pairs of different components remain: lists emit those that pass the same bounds; pairs with too few common
    shingles in the prefixes drop out, the rest is verified on the full sets, and components are final. Lists over
    `BLOCK` entries are split into pairs of blocks, the largest component of a list apart from the others.
@@ -45,11 +46,12 @@ SLICES = 64
 MATCHES = 4
 VERIFY_COST = 30.0
 HUBS = 3
-TURNS = 4
+TURNS = 3
 SALTED = 600  # documents a list, beyond which it is salted
 BLOCK = 1000
-SKETCH_BITS = 1 << 15
-SETS = "doc_id long, n_shingles long, node long, node2 long, text_key long, sketch binary"
+SKETCH_BITS = 1 << 15  # of the longest sketch
+WIDE = 8  # bits of a wide sketch for each bit of the other
+SETS = "doc_id long, n_shingles long, node long, node2 long, text_key long, sketch binary, wide binary"
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,9 +77,9 @@ def nodes(doc: np.ndarray, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
     return mix(a + size.astype(U)), mix(b)
 
 
-def sketches(doc: np.ndarray, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes on end, offsets) of the odd sketch of each set."""
-    bits_ = np.where(size > 0, np.minimum(SKETCH_BITS, np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))), 0)
+def sketches(doc: np.ndarray, s: np.ndarray, size: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes on end, offsets) of the odd sketch of each set, of about `times` bits for each shingle."""
+    bits_ = np.where(size > 0, times * np.minimum(SKETCH_BITS, np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))), 0)
     ends = np.cumsum(bits_)
     at = (ends - bits_)[doc] + (mix(s ^ U(0x5851F42D4C957F2D)).astype(np.int64) & (bits_[doc] - 1))
     odd = (np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8)
@@ -93,13 +95,15 @@ def _each(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def set_keys(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, the node of its set (two 64-bit halves), a hash of the text, and the set's sketch."""
+    """doc_id, n_shingles, the node of its set (two 64-bit halves), a hash of the text, and the set's sketches."""
+
+    def sketch(doc, s, size, times):
+        data, offsets = sketches(doc, s, size, times)
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
     def run(batches):
         for b, doc, s, size, (x, y) in _each(batches, k):
-            data, offsets = sketches(doc, s, size)
-            sketch = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(2), sketch], names=["doc_id", "n_shingles", "node", "node2", "text_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(2), sketch(doc, s, size, 1), sketch(doc, s, size, WIDE)], names=["doc_id", "n_shingles", "node", "node2", "text_key", "sketch", "wide"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -181,7 +185,7 @@ def prefixes(doc: np.ndarray, s: np.ndarray, size: np.ndarray, levels: np.ndarra
 
 #: size holds the matches in its top 4 bits, place a mark of salted lists in its top bit
 POSTING = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
-LISTS = "token long, salt int, node long, size long, matches int, place int"
+LISTS = "token long, salt int, salted boolean, node long, size long, matches int, place int"
 
 
 def postings(docs: DataFrame, levels: np.ndarray, k: int, buckets: int) -> DataFrame:
@@ -211,8 +215,32 @@ def postings(docs: DataFrame, levels: np.ndarray, k: int, buckets: int) -> DataF
     return docs.mapInArrow(run, "bucket long, entries binary")
 
 
+def alike(a: np.ndarray, b: np.ndarray, place_a: np.ndarray, place_b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs of sets of a <= b shingles can be similar by size and by the places of a common shingle, how many
+    shingles similar ones can have apart)."""
+    # a similar pair has at least so many common shingles, so the first n - common + need of both hold `need` of them
+    common = -(-3 * (a + b) // 7)
+    return (3 * b <= 4 * a) & (place_a < a - common + need) & (place_b < b - common + need), a + b - 2 * common
+
+
+def pairs_in(group: np.ndarray, size: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of each two entries of one group, i the smaller set and j at most 4/3 of it, about `most` pairs at a time."""
+    order = np.lexsort((size, group))
+    g, s = group[order].astype(np.int64), size[order].astype(np.int64)
+    top = 2 * int(s.max()) + 2
+    n = np.maximum(0, np.searchsorted(g * top + s, g * top + s * 4 // 3, "right") - np.arange(len(order)) - 1)
+    ends, a = np.cumsum(n), 0
+    while a < len(order):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        m = n[a:z]
+        i = np.repeat(np.arange(a, z), m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        yield order[i], order[j]
+        a = z
+
+
 def lists(packed: DataFrame, parts: int, buckets: int) -> DataFrame:
-    """The entries of shingles that two nodes or more have in their prefixes."""
+    """The entries of shingles that have a partner in the list which can be similar; of salted lists all."""
 
     def flush(held: list[bytes], bucket: int):
         rows = np.frombuffer(b"".join(held), POSTING)
@@ -220,13 +248,20 @@ def lists(packed: DataFrame, parts: int, buckets: int) -> DataFrame:
         rows = rows[order]
         new = np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])
         rows = rows[new]
-        first = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
-        n = np.diff(np.append(first, len(rows)))
-        rows = rows[np.repeat(n > 1, n) | (rows["place"] >> 31 > 0)]
+        group = np.cumsum(np.concatenate([[0], rows["token"][1:] != rows["token"][:-1]]))
+        salted = rows["place"] >> 31 > 0
+        at = np.flatnonzero((np.bincount(group) > 1)[group] & ~salted)
+        kept = salted.copy()
+        size, place, need = (rows["size"] & ((1 << 28) - 1)).astype(np.int64), rows["place"].astype(np.int64), (rows["size"] >> 28).astype(np.int64)
+        for i, j in pairs_in(group[at], size[at]) if len(at) else ():
+            i, j = at[i], at[j]
+            ok, _ = alike(size[i], size[j], place[i], place[j], np.minimum(need[i], need[j]))
+            kept[i[ok]] = kept[j[ok]] = True
+        rows = rows[kept]
         token = (np.int64(bucket % buckets) << 32) | rows["token"].astype(np.int64)
         for a in range(0, len(rows), 100_000):
             r = rows[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(np.full(len(r), bucket // buckets, np.int32)), pa.array(r["node"]), pa.array((r["size"] & ((1 << 28) - 1)).astype(np.int64)), pa.array((r["size"] >> 28).astype(np.int32)), pa.array((r["place"] & ((1 << 31) - 1)).astype(np.int32))], names=["token", "salt", "node", "size", "matches", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 100_000]), pa.array(np.full(len(r), bucket // buckets, np.int32)), pa.array(r["place"] >> 31 > 0), pa.array(r["node"]), pa.array((r["size"] & ((1 << 28) - 1)).astype(np.int64)), pa.array((r["size"] >> 28).astype(np.int32)), pa.array((r["place"] & ((1 << 31) - 1)).astype(np.int32))], names=["token", "salt", "salted", "node", "size", "matches", "place"])
 
     def run(batches):
         held, bucket = [], -1
@@ -289,12 +324,19 @@ def labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found.join(labels, "node", "left").select(*found.columns, F.coalesce("component", "node").alias("label"))
 
 
+def _mixed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The entries of lists that hold two components or more."""
+    mixed = rows.groupBy(*by).agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select(*by)
+    return rows.join(mixed, by)
+
+
 class Entries:
     """Entries of whole groups: number of the group, and the columns node, size, matches, place, label, sketch."""
 
     def __init__(self, t: pa.Table, group: np.ndarray):
         self.group = group
-        self.node, self.size, self.matches, self.place, self.label = (t.column(c).to_numpy() for c in ("node", "size", "matches", "place", "label"))
+        self.node, self.size, self.matches, self.place = (t.column(c).to_numpy() for c in ("node", "size", "matches", "place"))
+        self.label = t.column("label").to_numpy() if "label" in t.column_names else self.node
         sketch = t.column("sketch").combine_chunks().cast(pa.large_binary())
         _, off, data = sketch.buffers()
         offsets = np.frombuffer(off, np.int64, len(sketch) + 1, sketch.offset * 8)
@@ -306,12 +348,9 @@ class Entries:
         """Which pairs can be similar by size, by the places of the common shingle, and by their sketches."""
         swap = self.size[i] > self.size[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        a, b = self.size[i], self.size[j]
-        # a similar pair has at least so many common shingles, so the first n - common + m of both hold m of them
-        common, need = -(-3 * (a + b) // 7), np.minimum(self.matches[i], self.matches[j])
-        out = (3 * b <= 4 * a) & (self.place[i] < a - common + need) & (self.place[j] < b - common + need)
+        out, apart = alike(self.size[i], self.size[j], self.place[i], self.place[j], np.minimum(self.matches[i], self.matches[j]))
         at = np.flatnonzero(out)
-        out[at] = self._odd(i[at], j[at]) <= (a + b - 2 * common)[at]
+        out[at] = self._odd(i[at], j[at]) <= apart[at]
         return out
 
     def _odd(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -359,6 +398,26 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str], most_rows: int =
         yield from cut(True)
 
 
+def sifted(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, parts: int) -> DataFrame:
+    """The entries that have a partner of another component in their list which passes the bounds; of salted lists all."""
+    kept = ["token", "salt", "node", "size", "matches", "place"]
+
+    def run(batches):
+        for t, group in _grouped(batches, ["token", "salt"]):
+            e, ok = Entries(t, group), t.column("salted").to_numpy().copy()
+            at = np.flatnonzero(~ok)
+            for i, j in pairs_in(group[at], e.size[at]) if len(at) else ():
+                other = e.label[at[i]] != e.label[at[j]]
+                i, j = at[i[other]], at[j[other]]
+                near = e.near(i, j)
+                ok[i[near]] = ok[j[near]] = True
+            yield from t.select(kept).filter(pa.array(ok)).combine_chunks().to_batches()
+
+    rows = _mixed(labelled(found, labels), ["token"])
+    dealt = rows.join(shapes, "node").select(*kept, "salted", "label", "sketch").repartition(parts, "token", "salt").sortWithinPartitions("token", "salt")
+    return dealt.mapInArrow(run, LISTS.replace(" salted boolean,", ""))
+
+
 ENTRY = ["node", "size", "matches", "place", "label", "sketch"]
 
 
@@ -367,13 +426,12 @@ def stars(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, turn: i
     more has two hubs of different components, those with the smallest hash of node and turn."""
     rows = labelled(found, labels)
     if labels is not None:
-        mixed = rows.groupBy("token", "salt").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("token", "salt")
-        rows = rows.join(mixed, ["token", "salt"])
+        rows = _mixed(rows, ["token", "salt"])
 
     def run(batches):
         for t, group in _grouped(batches, ["token", "salt"]):
             e = Entries(t, group)
-            draw = mix(e.node.view(U) + U(turn) * U(0x9E3779B97F4A7C15)) >> U(1)
+            draw = mix(e.node.view(U) + U(turn * 0x9E3779B97F4A7C15 % 2**64)) >> U(1)
             order = np.lexsort((e.node, draw, group))
             first = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]  # a group's hub, by its number
             other = order[e.label[order] != e.label[first[group[order]]]]
@@ -416,23 +474,11 @@ def rest(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, parts: i
     def run(batches):
         for t, group in _grouped(batches, ["token", "a", "z"]):
             e, side = Entries(t, group), t.column("side").to_numpy()
-            order = np.lexsort((e.size, group))
-            top = int(e.size.max()) * 2 + 2
-            place = group[order].astype(np.int64) * top + e.size[order]
-            n = np.maximum(0, np.searchsorted(place, group[order].astype(np.int64) * top + e.size[order] * 4 // 3, "right") - np.arange(len(order)) - 1)
-            ends = np.cumsum(n)
-            a = 0
-            while a < len(order):  # blocks of about 200,000 pairs
-                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 200_000, "right")))
-                m = n[a:z]
-                i = np.repeat(np.arange(a, z), m)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-                i, j = order[i], order[j]
+            for i, j in pairs_in(group, e.size):
                 ok = (e.label[i] != e.label[j]) & ((side[i] == 2) | (side[i] != side[j]))
                 i, j = i[ok], j[ok]
                 ok = e.near(i, j)
                 i, j = i[ok], j[ok]
-                a = z
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(e.node[i], e.node[j])), pa.array(np.maximum(e.node[i], e.node[j])), pa.array(np.minimum(e.matches[i], e.matches[j]))], names=["u", "v", "need"])
 
@@ -445,9 +491,9 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     docs = texts(docs).withColumn("text_key", F.xxhash64("text"))
     parts = partitions(docs)
     keys = staged(set_keys(docs, k), "sets")
-    found = staged(lists(postings(docs, frequencies(docs, k), k, 4 * parts), parts, 4 * parts), "lists")
-    shapes = keys.where("n_shingles > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    links, first = [], None
+    every = staged(lists(postings(docs, frequencies(docs, k), k, 4 * parts), parts, 4 * parts), "lists")
+    shape = lambda rows, c: staged(keys.where("n_shingles > 0").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(c).alias("sketch")), "shapes")
+    shapes, found, first, links = shape(every, "sketch"), every, None, []
     for turn in range(TURNS):
         pairs = staged(stars(found, first, shapes, turn, parts), "pairs")
         links.append(verified(pairs, docs, keys, k))
@@ -456,12 +502,16 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
         if new:
             release(first)
             first = components(_all(links))
-        if 4 * new < offered or not new:
+        if not turn:
+            found = staged(sifted(every, first, shapes, parts), "sifted")
+            release(every, shapes)
+            shapes = shape(found, "wide")
+        elif 4 * new < offered or not new:
             break
     pairs = staged(rest(found, first, shapes, parts), "pairs")
     links.append(verified(pairs, docs, keys, k))
     labels = components(_all(links))
-    release(pairs, found, first, *links)
+    release(pairs, found, shapes, first, *links)
     same = keys.where("n_shingles > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("rep"))
     named = same.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
