@@ -5,10 +5,9 @@ Windows of LENGTH bytes are dealt by their minimizer, the smallest hash of a sho
 the same one at the same offset, so they meet in one bucket. Consecutive windows with one minimizer travel as one
 stretch. Stretches are counted by content first (partial aggregation; copies collapse there): a stretch that occurs
 twice is repeated as a whole, and one whose minimizer occurs in no other stretch is not repeated at all. Only the rest
-needs comparing: their bytes are dealt by minimizer, and their suffixes are sorted by bucket-pointer refinement. The
-initial buckets are 8-byte q-grams; a round refines bucket(p) by bucket(p + h), which doubles the sorted depth, and the
-last round reaches LENGTH with bucket(p + LENGTH - h). Each round reuses the buckets just refined, and suffixes alone in
-their bucket drop out. Minimizers with more than `HOT` different stretches (near copies in huge groups) are not
+needs comparing: their bytes are dealt by minimizer, and their suffixes are sorted by bucket-pointer refinement (see
+`refine`): the initial buckets are 8-byte q-grams, a bucket is refined by sorting on the bucket identifiers of later
+offsets, and updates are reused at once by the buckets refined next. Minimizers with more than `HOT` different stretches (near copies in huge groups) are not
 gathered: their windows are dealt and counted one by one.
 
 Null and empty texts have no bytes; texts shorter than LENGTH keep all. Copies of a text lose all their bytes where they
@@ -36,6 +35,7 @@ LENGTH = 200
 Q = 32
 HOT = 4000
 BATCH = 1 << 20
+PIECE = 1 << 16  # suffixes that are refined at a time
 STRETCH = "mini long, a long, b long, row long, n_bytes int, at int, n int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -113,43 +113,67 @@ def scan(docs: DataFrame, length: int, q: int) -> DataFrame:
 def refine(text: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
     """For each start in `valid` (ascending) whether its `length` bytes also start at another one; text is padded.
 
-    Bucket-pointer refinement over the suffixes that are left: bucket(p) becomes the rank of (bucket(p), bucket(p + h)).
+    Bucket-pointer refinement. Buckets are ranges of the suffix array, a bucket's identifier is where it begins, and each
+    knows how many bytes its suffixes share: 8 at first. A bucket of shared depth d is refined by sorting its suffixes on
+    the identifiers of the suffixes d bytes later; those that meet in one bucket there share its depth too. Identifiers and
+    depths are updated in place, so the buckets refined next, in the same pass, sort on what has just been refined. Buckets
+    of one suffix, or of depth `length`, are done.
     """
     n = len(text)
-    h = 8
-    bucket = np.zeros(n + length, np.int64)
     key = np.zeros(n, U)
     for j in range(8):
         key[: n - j] |= text[j:].astype(U) << U(8 * (7 - j))
-    _, inverse = np.unique(key, return_inverse=True)
-    bucket[:n] = inverse + 1
-    live = np.arange(n)
-    while h * 2 <= length:
-        live, bucket = _round(bucket, live, h)
-        h *= 2
-    if h < length:
-        a, b = bucket[valid], bucket[valid + length - h]
-        ok = (a > 0) & (b > 0)
-        pair = np.where(ok, a * np.int64(n + length + 1) + b, -1 - np.arange(len(valid)))
-    else:
-        a = bucket[valid]
-        pair = np.where(a > 0, a, -1 - np.arange(len(valid)))
-    _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-    return count[inverse] > 1
-
-
-def _round(bucket: np.ndarray, live: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
-    """One refinement; a suffix alone in its bucket gets bucket 0, as no string at it repeats, and leaves."""
-    ahead = bucket[live + h] if len(live) else live
-    ok = ahead > 0
-    out = np.zeros_like(bucket)
-    live = live[ok]
-    pair = bucket[live] * np.int64(len(bucket) + 1) + ahead[ok]
-    _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-    more = count[inverse] > 1
-    live = live[more]
-    out[live] = inverse[more] + 1
-    return live, out
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    sizes = np.diff(np.append(starts, n))
+    # identifiers count from 1; 0 stands for the zeros without end behind the text
+    bucket, depth = np.zeros(n + length, np.int64), np.zeros(n + 1, np.int64)
+    bucket[order] = np.repeat(starts + 1, sizes)
+    depth[starts + 1], depth[0] = 8, length
+    while True:
+        open_ = (sizes > 1) & (depth[starts + 1] < length)
+        starts, sizes = starts[open_], sizes[open_]
+        if not len(starts):
+            break
+        ends, found, a = np.cumsum(sizes), [], 0
+        while a < len(starts):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+            found.append(_refined(order, bucket, depth, starts[a:z], sizes[a:z]))
+            a = z
+        starts, sizes = (np.concatenate(x) for x in zip(*found))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    own = np.argsort(rank[valid])
+    x, y = valid[own[:-1]], valid[own[1:]]
+    # neighbours of one bucket share all bytes; others may yet, as buckets can be split at a greater depth
+    equal = bucket[x] == bucket[y]
+    near = ~equal
+    if length >= 8:
+        near &= (key[x] == key[y]) & (key[x + length - 8] == key[y + length - 8])
+    near = np.flatnonzero(near)
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    for a in range(0, len(near), 20_000):
+        k = near[a : a + 20_000]
+        equal[k] = (windows[x[k]] == windows[y[k]]).all(1)
+    out = np.zeros(len(valid), bool)
+    out[own[:-1]] |= equal
+    out[own[1:]] |= equal
+    return out
+
+
+def _refined(order: np.ndarray, bucket: np.ndarray, depth: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The beginnings and sizes of what some buckets are refined to; the three arrays are updated in place."""
+    which = np.repeat(np.arange(len(starts)), sizes)
+    at = np.arange(len(which)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    shared = depth[starts + 1][which]
+    later = bucket[order[at] + shared]
+    by = np.argsort(which * np.int64(len(depth)) + later, kind="stable")
+    order[at], later = order[at][by], later[by]
+    first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (later[1:] != later[:-1])]))
+    n = np.diff(np.append(first, len(at)))
+    bucket[order[at]] = np.repeat(at[first] + 1, n)
+    depth[at[first] + 1] = shared[first] + depth[later[first]]
+    return at[first], n
 
 
 def compare(rows: list[tuple[bytes, int]], length: int) -> list[list[int]]:

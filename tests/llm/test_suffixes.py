@@ -62,5 +62,29 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 200))), key=str)
 
 
+def test_refinement_alone():
+    """Suffix buckets against counting, on periodic, random and near-equal texts, in pieces of one bucket and of many."""
+    r = random.Random(8)
+    for length in (5, 8, 9, 20, 64):
+        for trial in range(6):
+            alphabet = "ab" if trial % 2 else "abcdefgh"
+            rows = ["".join(r.choice(alphabet) for _ in range(r.randint(length, 3 * length))) for _ in range(6)] + ["ab" * length, "a" * (2 * length)]
+            rows += [rows[0][3:] + "x" * length, "y" * 3 + rows[1], rows[2]]
+            given = [(t.encode(), len(t) - length + 1) for t in rows if len(t) >= length]
+            count = {}
+            for raw, n in given:
+                for i in range(n):
+                    count[raw[i : i + length]] = count.get(raw[i : i + length], 0) + 1
+            for piece in (1, 50, 1 << 16):
+                suffixes.PIECE, kept = piece, suffixes.PIECE
+                try:
+                    got = suffixes.compare(given, length)
+                finally:
+                    suffixes.PIECE = kept
+                for (raw, n), runs in zip(given, got):
+                    hit = {i for a, b in zip(runs[::2], runs[1::2]) for i in range(a, b)}
+                    assert hit == {i for i in range(n) if count[raw[i : i + length]] > 1}
+
+
 def test_empty(spark):
     assert suffixes.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
