@@ -35,7 +35,8 @@ def unescape(c: Column) -> Column:
 
 
 def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
-    """(conv_id, leaf, rank, total, place, id): the messages of each chosen root-to-leaf path, place counting from the root.
+    """(conv_id, leaf, rank, total, place, id): the messages of each chosen root-to-leaf path, place counting from the root;
+    the best `keep` of each conversation, or all.
 
     messages: conv_id, id (unique in its conversation), parent (null for roots), score.
     """
@@ -80,11 +81,9 @@ def _paths(messages: DataFrame, keep: int | None) -> DataFrame:
         whole = whole.unionByName(front.where("above is null"))
         front = front.where("above is not null")
         depth += 1
-    if keep is None:
-        # without a choice to make, ranks are not asked for and a conversation's branches needn't meet in one task
-        ranked = whole.withColumn("rank", F.lit(None).cast("int"))
-    else:
-        ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= keep)
+    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")))
+    if keep is not None:
+        ranked = ranked.where(F.col("rank") <= keep)
     return ranked.select("conv_id", "leaf", "rank", F.col("score").alias("total"), F.posexplode("ids").alias("place", "id"))
 
 
@@ -126,7 +125,8 @@ def linear(conversations: DataFrame) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    out = read_back(format_paths(linear(rows.unionByName(probe))))
+    # a conversation that is given in turns has one branch, which is the best ranked
+    out = read_back(format_paths(linear(rows.unionByName(probe)), keep=1))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return out.select(

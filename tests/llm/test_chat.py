@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from tessera.llm import chat
@@ -40,6 +42,31 @@ def test_null_conversation(spark, tmp_path):
     assert len(want) == 4 and sorted(map(tuple, chat.op8(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
 
 
+def test_random_trees_against_brute_force(spark):
+    r = random.Random(4)
+    rows = []
+    for c in range(25):
+        n = r.randint(1, 14)
+        rows += [(c, i, r.choice([None, *range(i)]) if i else None, r.choice(["user", "assistant", None]), r.choice(["a", "</s>", "[INST]", "\\", None]) or "", r.choice([None, 0.0, 1.0, 2.5])) for i in range(n)]
+    want = {}
+    for c in {x[0] for x in rows}:
+        own = {x[1]: x for x in rows if x[0] == c}
+        leaves = [i for i in own if i not in {x[2] for x in own.values()}]
+        paths = []
+        for leaf in leaves:
+            path, i = [], leaf
+            while i is not None:
+                path.insert(0, own[i])
+                i = own[i][2]
+            paths.append((-sum(x[5] or 0 for x in path), leaf, path))
+        for rank, (_, leaf, path) in enumerate(sorted(paths), 1):
+            want[c, leaf] = (rank, [(x[3] or "", x[4]) for x in path], [x[4] for x in path if x[3] == "assistant"])
+    df = spark.createDataFrame(rows, "conv_id long, id long, parent long, role string, text string, score double").repartition(5)
+    for keep in (None, 1, 2):
+        got = {(x.conv_id, x.leaf): (x.rank, [(t.role, t.text) for t in x.turns], list(x.loss_texts)) for x in chat.read_back(chat.format_paths(df, keep)).collect()}
+        assert got == {k: v for k, v in want.items() if keep is None or v[0] <= keep}
+
+
 def test_long_chain_and_empty(spark):
     n = 300
     df = spark.createDataFrame([(7, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(n)], "conv_id long, id long, parent long, role string, text string, score double")
