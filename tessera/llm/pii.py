@@ -9,7 +9,8 @@ moduli with cycle walking. Check digits are computed anew. Separators, prefixes
 
 Secrets and hexadecimal keys may have any length; the whole run of characters that a value can have is permuted.
 
-Null texts stay null, and texts without such values stay as they are. A number that doesn't validate is left alone.
+Null texts stay null, and texts without such values stay as they are. A number that doesn't validate is left alone; so is
+an address with a zero in front of an octet.
 Equal rows stay equal rows; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -38,7 +39,8 @@ ROUNDS = 8
 LONG = 1200
 DAYS = 73_049  # 1900-01-01 to 2099-12-31
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-KEY = "pseudonyms"
+KEY = "pseudonyms"  # for tests and trials only: who knows the key can undo pseudonyms
+KEY_CONF = "spark.tessera.pseudonyms.key"
 
 
 def prf(key: str, kind: str, turn: Column, value: Column) -> Column:
@@ -92,7 +94,7 @@ def permute_number(c: Column, key: str, kind: str, a: int, b: int, size: int, in
     if a * b == size:
         return once(c)
     # a value that falls outside walks on; with a * b within a few percent of size, 12 steps never fail in practice
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(c.cast("long").alias("n"), F.lit(False).alias("in")), lambda acc, _: F.when(acc["in"], acc).otherwise(F.struct(once(acc.n).alias("n"), (once(acc.n) < size).alias("in"))), lambda acc: acc.n)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), c.cast("long"), lambda n, k: F.when((k > 1) & (n < size), n).otherwise(once(n)))
 
 
 def luhn_digit(payload: Column) -> Column:
@@ -131,7 +133,8 @@ def pseudonym(x: Column, key: str, inverse: bool = False) -> Column:
     card = refill(x, F.concat(new_payload, luhn_digit(new_payload)), r"\d")
 
     octets = F.transform(F.split(x, r"\."), lambda o: o.cast("long"))
-    ip_ok = F.forall(octets, lambda o: o <= 255)
+    # a zero in front would be lost
+    ip_ok = F.forall(octets, lambda o: o <= 255) & ~x.rlike(r"(^|\.)0\d")
     n = permute_number(octets[0] + octets[1] * 256 + octets[2] * 65536 + octets[3] * 16777216, key, "ip", 65536, 65536, 1 << 32, inverse)
     ip = F.concat_ws(".", *[(F.floor(n / 256**k) % 256).cast("string") for k in range(4)])
 
@@ -163,7 +166,10 @@ def pseudonym(x: Column, key: str, inverse: bool = False) -> Column:
     phone = F.concat(country_code, permute_text(rest, key, "phone", inverse))
     name = F.regexp_extract(x, r"(?s)^.*?[=:][ \t]*[\"']?", 0)
     value = F.substring(x, F.length(name) + 1, F.length(x))
-    secret = F.concat(name, F.when(value.rlike("^[0-9a-f]+$"), permute_text(value, key, "secret", inverse, True)).otherwise(permute_text(value, key, "secret", inverse)))
+    # values that look hexadecimal are permuted among themselves, the others walk on until they don't look so
+    looks = lambda v: v.rlike("^[0-9a-f]+$")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), value, lambda v, k: F.when((k > 1) & ~looks(v), v).otherwise(permute_text(v, key, "secret", inverse)))
+    secret = F.concat(name, F.when(looks(value), permute_text(value, key, "secret", inverse, True)).otherwise(walked))
 
     kind = kind_of(x)
     return (
@@ -181,8 +187,10 @@ def pseudonym(x: Column, key: str, inverse: bool = False) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, inverse: bool = False) -> DataFrame:
-    """doc_id, text with pseudonyms, n_found (values changed), and the kinds found, sorted."""
+def pseudonymize(docs: DataFrame, key: str | None = None, inverse: bool = False) -> DataFrame:
+    """doc_id, text with pseudonyms, n_found (values changed), and the kinds found, sorted. The key is the one given, or
+    the session's spark.tessera.pseudonyms.key, or else the public KEY."""
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
     rows = texts(docs).withColumn("found", F.regexp_extract_all("text", F.lit(ALL), F.lit(0)))
     # one evaluation for each different value of a document
     rows = rows.withColumn("values", F.array_distinct("found")).withColumn("names", F.transform("values", lambda x: pseudonym(x, key, inverse)))
