@@ -51,6 +51,46 @@ def test_against_brute_force_and_blocks(spark):
         assert got == want
 
 
+def test_repeated_and_null_ids_over_blocks(spark):
+    docs, bench = data()
+    docs = [(i if i % 3 else None, t, n) if i % 2 else (7, t, n) for i, t, n in docs] + docs[3:6] + docs[3:6]
+    bench = bench + [(None, "w1 w2 w3", 1), (0, bench[1][1], 1)]
+    d, b = spark.createDataFrame(docs, KIND).repartition(3), spark.createDataFrame(bench, "item_id long, text string, doc_id int")
+    want = sorted(((i, *brute([(0, t, n)], [x for x in bench if x[0] is not None])[0]) for i, t, n in docs), key=str)
+    for block in (D.BLOCK_BYTES, 150):
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.contamination(d, b, block_bytes=block).collect()), key=str)
+        assert got == want
+
+
+def test_near_items_against_brute_force(spark):
+    docs, bench = data()
+    d, b = spark.createDataFrame(docs, KIND).repartition(3), spark.createDataFrame(bench, "item_id long, text string, doc_id int")
+
+    def near(text, item):
+        w, x = words(text), set(words(item))
+        n = D.SPREAD * len(x)
+        return bool(x) and any(x <= set(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))
+
+    want = {i: sum(near(t, x) for _, x, _ in bench) for i, t, _ in docs}
+    assert any(want.values())
+    for block in (D.BLOCK_BYTES, 200):
+        assert {r.doc_id: r.n_near for r in D.contamination(d, b, block_bytes=block).collect()} == want
+
+
+def test_the_plan_stays_in_proportion():
+    """What is sent for a block is bounded by its bytes of text."""
+    import pickle
+
+    import numpy as np
+
+    r = random.Random(1)
+    rows = [(str(i), " ".join(f"w{r.randrange(5000)}" for _ in range(100))) for i in range(2000)]
+    items = D.Items.of(rows)
+    counts = np.ones(len(items.vocabulary), np.int64)
+    sent = sum(len(pickle.dumps(x)) for x in (items.vocabulary, items.item, D.Plan.of(items, counts, 13), D.Near.of(items, counts)))
+    assert sent < 7 * sum(len(t) for _, t in rows)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x b y c", 1), (2, "c b q q q q a", 1), (3, None, 1)], KIND)
     b = spark.createDataFrame([(7, "a b c", 0), (8, "zz", 0), (9, "q a", 0)], "item_id long, text string, z int")
