@@ -2,7 +2,8 @@
 
 A tree splits the space again and again by a random direction at the median; vectors near the split (within `SPILL`)
 go to both sides. Vectors are compared only within a leaf, and only with their own label. The trees (their medians) are
-fitted on at most `FIT` vectors; every vector is then sent down every tree. A pair that shares leaves of several trees is
+fitted on at most `FIT` vectors, for the first `FITTED` levels; every vector is then sent down every tree, as deep as
+leaves of about `LEAF` vectors of the largest label call for. A pair that shares leaves of several trees is
 counted in the first one only, which both rows' lists of leaves show; so leaf tasks send counts and a spanning forest of
 their links, not all pairs. Equal vectors are collapsed first and counted by multiplicity.
 
@@ -36,18 +37,20 @@ SPILL = 0.02
 LEAF = 256
 LEAF_ROWS = 4000
 FIT = 20_000
-DEEPEST = 12
+FITTED = 12  # levels with medians
+DEEPEST = 40
 
 
 class Forest:
-    """Directions and medians; node k has the children 2k + 1 and 2k + 2."""
+    """Directions and medians; node k has the children 2k + 1 and 2k + 2. Below `fitted` levels, for which the sample would
+    be too small, all nodes of a level share a direction and split at 0, so the depth can follow the number of vectors."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int = 11):
+    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int = 11, fitted: int | None = None):
         rng = np.random.default_rng(seed)
-        self.depth, self.spill = depth, spill
-        self.direction, self.middle = [], []
+        self.depth, self.spill, self.fitted = depth, spill, min(depth, FITTED if fitted is None else fitted)
+        self.direction, self.middle, self.below = [], [], []
         for _ in range(trees):
-            d = rng.standard_normal((2**depth - 1, sample.shape[1]))
+            d = rng.standard_normal((2**self.fitted - 1, sample.shape[1]))
             d /= np.linalg.norm(d, axis=1, keepdims=True)
             m = np.zeros(len(d))
             rows = {0: np.arange(len(sample))}
@@ -58,14 +61,16 @@ class Forest:
                 rows[2 * k + 1], rows[2 * k + 2] = own[p <= m[k]], own[p > m[k]]
             self.direction.append(d)
             self.middle.append(m)
+            deep = rng.standard_normal((depth - self.fitted, sample.shape[1]))
+            self.below.append(deep / np.linalg.norm(deep, axis=1, keepdims=True))
 
     def leaves(self, x: np.ndarray) -> list[np.ndarray]:
         """For each tree (row, leaf) pairs, rows ascending."""
         out = []
-        for d, m in zip(self.direction, self.middle):
+        for d, m, deep in zip(self.direction, self.middle, self.below):
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                p = np.einsum("ij,ij->i", x[row], d[node]) - m[node]
+            for level in range(self.depth):
+                p = np.einsum("ij,ij->i", x[row], d[node]) - m[node] if level < self.fitted else (x @ deep[level - self.fitted])[row]
                 left, right = p <= self.spill, p > -self.spill
                 row = np.concatenate([row[left], row[right]])
                 node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
@@ -110,7 +115,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
                     own = [[] for _ in rows]
                     for t, f in enumerate(found):
                         for r, n in f.tolist():
-                            own[r].append(t << 32 | n)
+                            own[r].append(t << 56 | n)
                     lens = np.array([len(o) for o in own])
                     rep = np.repeat(rows, lens)
                     key = np.concatenate([np.array(o, np.int64) for o in own])
@@ -120,7 +125,9 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
                         names=["label", "leaf", "rep", "times", "embedding", "own"],
                     )
 
-    placed = staged(vectors.select("rep", F.concat_ws(":", F.size("embedding"), F.col("label").cast("string")).alias("label"), "times", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(place, "label string, leaf long, rep long, times long, embedding array<float>, own array<long>"), "leaves")
+    # components travel as they are given; anything but float as double
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    placed = staged(vectors.select("rep", F.concat_ws(":", F.size("embedding"), F.col("label").cast("string")).alias("label"), "times", F.col("embedding").cast(kind).alias("embedding")).mapInArrow(place, f"label string, leaf long, rep long, times long, embedding {kind}, own array<long>"), "leaves")
     sizes = placed.groupBy("label", "leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("blocks")).where("blocks > 1")
     cut = placed.join(sizes, ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))

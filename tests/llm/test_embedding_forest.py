@@ -1,5 +1,6 @@
 import numpy as np
 
+from tessera.llm import embedding_forest
 from tessera.llm.embedding_forest import near_duplicates
 
 KIND = "vec_id long, label int, embedding array<float>, rep string"
@@ -58,5 +59,49 @@ def test_every_dimension(spark):
     assert got == want
 
 
+def test_recall_at_production_parameters(spark):
+    """Planted pairs just above the threshold among thousands of vectors, with the trees as they are in production."""
+    r = np.random.default_rng(7)
+    n, dim = 6000, 32
+    x = r.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 1200, 2):
+        w = r.standard_normal(dim)
+        w -= (w @ x[i]) * x[i]
+        c = r.uniform(0.9802, 0.99)
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+    label = r.integers(0, 2, n)
+    label[1:1200:2] = label[0:1200:2]
+    df = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(n)], "vec_id long, label int, embedding array<double>").repartition(8)
+    got = {v.vec_id: (v.n_links, v.component_id) for v in near_duplicates(df).collect()}
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    links = near.sum(1)
+    assert links[:1200].min() >= 1 and {k: v[0] for k, v in got.items()} == dict(enumerate(links.tolist()))
+
+
+def test_levels_below_the_fitted_ones(spark, monkeypatch):
+    monkeypatch.setattr(embedding_forest, "FITTED", 1)
+    check(spark, rows(4), leaf=12, leaf_rows=25, spill=0.08)
+    forest = embedding_forest.Forest(np.eye(16), 5, 2, 0.0)
+    assert forest.direction[0].shape == (1, 16) and forest.below[0].shape == (4, 16)
+    assert all(0 <= leaf < 32 for f in forest.leaves(np.eye(16)) for _, leaf in f)
+
+
+def test_double_precision(spark):
+    """A pair that is linked in double precision and not as float, and one the other way round."""
+    r, rows = np.random.default_rng(1), []
+    while len(rows) < 6:
+        v, w = r.standard_normal(4), r.standard_normal(4)
+        w -= (w @ v) / (v @ v) * v
+        t = 0.98 + r.choice([-1, 1]) * 1e-9
+        u = t * v / np.linalg.norm(v) + np.sqrt(1 - t * t) * w / np.linalg.norm(w)
+        cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+        if (cos(v, u) >= 0.98) != (cos(v.astype(np.float32).astype(float), u.astype(np.float32).astype(float)) >= 0.98):
+            rows += [(len(rows), len(rows), v.tolist(), cos(v, u) >= 0.98), (len(rows) + 1, len(rows), u.tolist(), cos(v, u) >= 0.98)]
+    got = {x.vec_id: x.n_links for x in near_duplicates(spark.createDataFrame([x[:3] for x in rows], "vec_id long, label int, embedding array<double>")).collect()}
+    assert got == {i: int(linked) for i, _, _, linked in rows}
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], KIND)).count() == 0
