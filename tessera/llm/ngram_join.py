@@ -137,7 +137,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
     out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for r in docs.mapInArrow(run, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").toLocalIterator():
+    for r in docs.mapInArrow(run, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").collect():  # COUNTERS bytes
         out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
     return out.reshape(-1)
 
