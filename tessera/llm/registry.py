@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from tessera.llm import chat, decontaminate, embedding_forest, line_dedup, ngram_join, pii, sentencepiece_bpe, suffixes, toxicity, zip_warc
+from tessera.llm import chat, decontaminate, embedding_forest, line_dedup, ngram_join, pii, pipeline, sentencepiece_bpe, suffixes, toxicity, zip_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,12 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat.op8,
         "op9_line_dedup": line_dedup.op9,
         "op10_decontaminate": decontaminate.op10,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     out = {"op8_chat": chat.SQL, "op9_line_dedup": line_dedup.SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if pipeline.ORACLE_SQL:
+        out["pipeline"] = pipeline.ORACLE_SQL
     return out

@@ -10,7 +10,8 @@ A task writes under a fresh name and reports it; only packages that finished tas
 tasks leave strays but no wrong records.
 
 Null html is an empty payload; a null or odd URL is percent-encoded. Of equal payloads (of at least `least` bytes) the
-row with the smallest page_id is the response (all rows with that page_id, if it repeats). Extra columns are ignored.
+row with the smallest page_id is the response (all rows with that page_id, if it repeats). A page without an id revisits one
+that has one, and is a response where there is none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> tup
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {url}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     raw = ("\r\n".join([*lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -167,7 +168,7 @@ def parse(data: bytes) -> dict:
     http, payload = block.split(b"\r\n\r\n", 1)
     said = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-    ours = lambda x: int(x[len("<urn:page:") : -1])
+    ours = lambda x: int(n) if (n := x[len("<urn:page:") : -1]) else None
     out = {"page_id": ours(h["WARC-Record-ID"]), "url": h["WARC-Target-URI"], "record_type": h["WARC-Type"], "refers_to": ours(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None, "payload_bytes": int(said["Content-Length"]), "payload": payload}
     if out["record_type"] == "response":
         out["payload_bytes"] = len(payload)
@@ -182,9 +183,9 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("d"), F.octet_length(html).alias("n"))
     firsts = rows.where(F.col("n") >= least).groupBy("d", "n").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    again = rows.join(firsts, ["d", "n"]).where("page_id <> refers_to").select("page_id", "d", "n", "refers_to").distinct()
+    again = rows.join(firsts, ["d", "n"]).where("not page_id <=> refers_to and refers_to is not null").select(F.col("page_id").alias("p"), F.col("d").alias("e"), F.col("n").alias("m"), "refers_to").distinct()
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("d"), F.octet_length(html).alias("n"))
-    return full.join(again, ["page_id", "d", "n"], "left").drop("d", "n")
+    return full.join(again, full["page_id"].eqNullSafe(again["p"]) & (full["d"] == again["e"]) & (full["n"] == again["m"]), "left").drop("d", "n", "p", "e", "m")
 
 
 def write_packages(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:

@@ -43,3 +43,47 @@ def test_null_and_repeated_ids(spark):
     bad, good = (toxicity.score(docs, model).where(f"predicted = {p}").join(docs, "doc_id").orderBy("doc_id").first().text for p in (1, 0))
     more = docs.unionByName(frame([(None, bad), (None, good)]))
     assert [r.text for r in corpus_pipeline.drop_toxic(spark, more, SF).where("doc_id is null").collect()] == [good]
+
+
+def test_against_brute_force(spark):
+    """Every stage on what the brute-force stage before it kept, over whole tables."""
+    import hashlib
+
+    import public_tokenizers
+    import sentencepiece
+
+    from tests.llm import test_decontaminate, test_line_dedup, test_ngram_join
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None and r.doc_id in rows and not toxicity.held_out(r.doc_id)]
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(labels) < toxicity.MAX_TRAIN  # all of them are learnt from
+    kept = {i: t for i, t in rows.items() if toxicity.probabilities([t or ""], model)[0] < 0.5}
+    stages = [s for _, s in corpus_pipeline.STAGES]
+
+    def check(stage, before, want):
+        out = stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in before.items()], docs.schema).repartition(3), SF)
+        assert {r.doc_id: r.text for r in out.collect()} == want and len(want) > 100
+        return want
+
+    kept = check(stages[0], rows, kept)
+    lines = test_line_dedup.brute([(i, t) for i, t in kept.items()])
+    kept = check(stages[1], kept, {i: t for i, t in lines.items() if t == kept[i] or t.strip()})
+    near = test_ngram_join.brute(list(kept.items()))
+    kept = check(stages[2], kept, {i: t for i, t in kept.items() if near[i][1] == i})
+    leaks = test_decontaminate.brute(list(kept.items()), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    kept = check(stages[3], kept, {i: t for i, t in kept.items() if not leaks[i][4]})
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    out = stages[4](spark, spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in kept.items()], docs.schema), SF)
+    assert {r.doc_id: r.ids_sha256 for r in out.collect()} == {i: hashlib.sha256(",".join(map(str, sp.encode(t or ""))).encode()).hexdigest() for i, t in kept.items()}
+
+
+def test_empty_tables_and_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    bare = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "", "en", "s", 0), (2, " \n ", "en", "s", 3)], docs.schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(map(str, stage(spark, bare, SF).select("doc_id", "text").collect())) == sorted(map(str, bare.select("doc_id", "text").collect()))
+    assert corpus_pipeline.STAGES[-1][1](spark, bare, SF).count() == 4

@@ -55,3 +55,11 @@ def test_plain_zip_directory():
 
 def test_empty(spark, tmp_path):
     assert Z.read_records(Z.write_packages(spark.createDataFrame([], KIND), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").select(F.count("*")).first()[0] == 0
+
+
+def test_pages_without_an_id(spark, tmp_path):
+    """They revisit the page with the same payload that has one; among themselves they are all responses."""
+    rows = [(None, "a", "first", "e"), (4, "b", "first", "e"), (None, "c", "second", "e"), (None, "d", "second", "e"), (9, "e", "first", "e")]
+    folder = f"file://{tmp_path}/n"
+    got = sorted(((r.page_id, r.url, r.record_type, r.refers_to) for r in Z.read_records(Z.write_packages(spark.createDataFrame(rows, KIND), folder), folder).collect()), key=str)
+    assert got == sorted([(4, "b", "response", None), (9, "e", "revisit", 4), (None, "a", "revisit", 4), (None, "c", "response", None), (None, "d", "response", None)], key=str)
