@@ -1,6 +1,8 @@
 """The token grammar of predicates: nested prefix lists with an implicit AND at the top.
 
-['age', '>', 26], ['!', [...]], ['&', [...], [...]], ['|', [...], [...]], and lists of these.
+['age', '>', 26], ['!', [...]], ['&', [...], [...]], ['|', [...], [...]], and lists of these. '!' takes the one operand
+after it, '&' and '|' the two after them, which may be terms in the open: ['|', 'a', '==', 1, 'b', '==', 2, 'c', '>', 3]
+is (a = 1 or b = 2) and c > 3.
 """
 
 from __future__ import annotations
@@ -61,12 +63,12 @@ def _take(tokens: list[Any]) -> tuple[Predicate, list[Any]]:
         return Not(p), rest
     if head in ("&", "|"):
         parts = []
-        while rest:
+        for _ in range(2):
+            if not rest:
+                raise ValidationError(f"{head!r} needs two operands")
             p, rest = _take(rest)
             parts.append(p)
-        if not parts:
-            raise ValidationError(f"{head!r} needs operands")
-        return (And if head == "&" else Or)(*parts), []
+        return (And if head == "&" else Or)(*parts), rest
     if not isinstance(head, str):
         raise ValidationError(f"not an attribute or operator: {head!r}")
     if not rest or not isinstance(rest[0], str) or rest[0] not in ARITY:
