@@ -6,6 +6,7 @@ import ast
 import inspect
 import textwrap
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,57 @@ class _F:
 F = _F()
 
 
+@dataclass(frozen=True)
+class Typed:
+    """A callable over a row with the Spark type of what it returns."""
+
+    fn: Callable
+    returns: str
+
+    def __call__(self, *args: Any) -> Any:
+        return self.fn(*args)
+
+
+def typed(fn: Callable, returns: str) -> Typed:
+    return Typed(fn, returns)
+
+
+# The Spark types of Python's annotations.
+TYPES = {int: "long", float: "double", str: "string", bool: "boolean", bytes: "binary", list[int]: "array<long>", list[float]: "array<double>", list[str]: "array<string>"}
+
+
+def returns_of(fn: Callable) -> str | None:
+    """The Spark type that a callable says it returns, or None."""
+    if isinstance(fn, Typed):
+        return fn.returns
+    try:
+        said = inspect.get_annotations(fn, eval_str=True).get("return")
+    except (TypeError, NameError):
+        return None
+    return said if isinstance(said, str) else TYPES.get(said)
+
+
+def touched(fn: Callable) -> list[str] | None:
+    """The fields of the row that a callable of one argument reads, or None where its source doesn't show them all."""
+    fn = fn.fn if isinstance(fn, Typed) else fn
+    try:
+        tree = ast.parse(textwrap.dedent(inspect.getsource(fn)).strip().lstrip("."))
+    except (OSError, TypeError, SyntaxError, IndentationError):
+        return None
+    found = [n for n in ast.walk(tree) if isinstance(n, (ast.Lambda, ast.FunctionDef))]
+    if len(found) != 1 or len(found[0].args.args) != 1:
+        return None
+    arg, names = found[0].args.args[0].arg, []
+    uses = sum(isinstance(n, ast.Name) and n.id == arg for n in ast.walk(found[0]))
+    called = {id(n.func) for n in ast.walk(found[0]) if isinstance(n, ast.Call)}  # methods of the row
+    for n in ast.walk(found[0]):
+        if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == arg and id(n) not in called:
+            names.append(n.attr)
+        elif isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and n.value.id == arg and isinstance(n.slice, ast.Constant) and isinstance(n.slice.value, str):
+            names.append(n.slice.value)
+    return list(dict.fromkeys(names)) if names and len(names) == uses else None
+
+
 class Untraceable(Exception):
     """The callable can't be turned into native expressions."""
 
@@ -72,6 +124,11 @@ class Untraceable(Exception):
 class _Row:
     """Stands for the row while a callable is traced."""
 
+    def _no_value(self, *_):
+        raise TypeError("a row has no values before the query runs")
+
+    __str__ = __iter__ = __format__ = __len__ = _no_value
+
     def __getattr__(self, name: str) -> Field:
         if name.startswith("__"):
             raise AttributeError(name)
@@ -85,6 +142,8 @@ def trace(value: Any) -> Any:
     """Fields, columns and constants as they are; callables as the expression that they compute, or Untraceable."""
     if isinstance(value, str) or not callable(value) or isinstance(value, (Expr, Column)):
         return value
+    if isinstance(value, Typed):
+        raise Untraceable("its type is given")
     if (found := _from_source(value)) is not None:
         return found
     try:

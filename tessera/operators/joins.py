@@ -24,8 +24,9 @@ def key_of(left: DataFrame, right: DataFrame, left_alias: str, right_alias: str)
     raise ValidationError(f"no key joins {left_alias} and {right_alias}: give on=")
 
 
-def join(left: DataFrame, right: DataFrame, how: str = "inner", on: Any = None, left_alias: str = "left", right_alias: str = "right") -> DataFrame:
-    """Rows with each side as a struct under its alias; null keys match each other.
+def join(left: DataFrame, right: DataFrame, how: str = "inner", on: Any = None, left_alias: str = "left", right_alias: str = "right", null_safe: bool | None = None) -> DataFrame:
+    """Rows with each side as a struct under its alias. Null keys match each other where null_safe says so: by default for
+    the implicit key only, as with on= all rows without a key would meet in one task and multiply.
 
     on: a name, a list of names or of (left, right) pairs, or a Column over {alias}.{name}. `external` gives the cross
     product and each side's rows alone (so it is for small tables), `outer` each side's rows alone without pairs.
@@ -41,5 +42,6 @@ def join(left: DataFrame, right: DataFrame, how: str = "inner", on: Any = None,
         condition = on
     else:
         pairs = [key_of(left, right, left_alias, right_alias)] if on is None else [(p, p) if isinstance(p, str) else p for p in ([on] if isinstance(on, str) else on)]
-        condition = reduce(lambda x, y: x & y, (S.col(f"{left_alias}.{x}").eqNullSafe(S.col(f"{right_alias}.{y}")) for x, y in pairs))
+        equal = Column.eqNullSafe if (on is None if null_safe is None else null_safe) else Column.__eq__
+        condition = reduce(lambda x, y: x & y, (equal(S.col(f"{left_alias}.{x}"), S.col(f"{right_alias}.{y}")) for x, y in pairs))
     return a.join(b, condition, SPARK.get(how, how))

@@ -26,11 +26,18 @@ def collection_field(df: DataFrame, child: DataFrame, name: str, on: Sequence[tu
     return df.join(rows, match, "left").withColumn(name, S.coalesce(shape, S.array())).drop("__items", *[f"__k{i}" for i in range(len(on))])
 
 
+def sortable(df: DataFrame) -> list[str]:
+    """The columns whose types have an order."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def top_n(df: DataFrame, child: DataFrame, on: Sequence[tuple[str, str]], order: Sequence[Any], n: int | None, how: str = "inner") -> DataFrame:
-    """For each row the first n child rows of its key: the window form of a lateral join, so the child is ranked once."""
+    """For each row the first n child rows of its key: the window form of a lateral join, so the child is ranked once.
+    Without an order, child rows are ordered by all their columns that have one."""
     if not on:
         raise ValidationError("a correlated select_many needs on=[(parent, child)]")
     if n is not None:
+        order = order or sortable(child)
         w = Window.partitionBy(*[c for _, c in on]).orderBy(*order)
         child = child.withColumn("__rn", S.row_number().over(w)).where(S.col("__rn") <= n).drop("__rn")
     taken = set(df.columns)

@@ -72,6 +72,12 @@ class Expr:
     def __bool__(self):
         raise TypeError("an expression has no truth value; combine with & | ~")
 
+    def _no_value(self, *_):
+        raise TypeError("an expression has no value before it runs")
+
+    # a callable that asks for these can't be traced
+    __str__ = __iter__ = __format__ = __len__ = _no_value
+
     def divide_or_one(self, other):
         """Division in which a null or zero on either side gives 1."""
         return Arith("/1", self, other)

@@ -34,7 +34,8 @@ class Policy:
 
     def rows(self, df: DataFrame) -> list[Any]:
         """All rows on the driver; RuntimeError beyond max_rows_local, TimeoutError beyond timeout_ms."""
-        got = self.timed(df, lambda: (df if self.max_rows_local is None else df.limit(self.max_rows_local + 1)).collect())
+        # a plan of its own, as one whose job was cancelled can't run again
+        got = self.timed(df, lambda: (df.select("*") if self.max_rows_local is None else df.limit(self.max_rows_local + 1)).collect())
         if self.max_rows_local is not None and len(got) > self.max_rows_local:
             raise RuntimeError(f"the result has more than {self.max_rows_local} rows")
         return got
@@ -42,21 +43,29 @@ class Policy:
     def timed(self, df: DataFrame, action: Callable[[], Any]) -> Any:
         if self.timeout_ms is None:
             return action()
-        sc, tag, late = df.sparkSession.sparkContext, f"t{uuid.uuid4().hex}", threading.Event()
+        sc, tag, late, over = df.sparkSession.sparkContext, f"t{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
         def stop():
             late.set()
-            sc.cancelJobsWithTag(tag)
+            # again and again, as a job that isn't submitted yet can't be cancelled
+            while not over.is_set():
+                sc.cancelJobsWithTag(tag)
+                over.wait(0.1)
 
         timer = threading.Timer(self.timeout_ms / 1000, stop)
         sc.addJobTag(tag)
         timer.start()
+        said = TimeoutError(f"stopped after {self.timeout_ms} ms")
         try:
-            return action()
+            got = action()
         except Exception as e:
             if late.is_set():
-                raise TimeoutError(f"stopped after {self.timeout_ms} ms") from e
+                raise said from e
             raise
         finally:
+            over.set()
             timer.cancel()
             sc.removeJobTag(tag)
+        if late.is_set():
+            raise said
+        return got
