@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as S
+from pyspark.sql import types as T
 
 from tessera.errors import ValidationError
+from tessera.sources.stage import staged
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -65,7 +67,18 @@ def and_merge(parts: Sequence[DataFrame], residual: Column | None = None) -> Dat
     return out if residual is None else out.where(residual)
 
 
-class Multiset:
+class Collection:
+    """What all collections have: their rows as a DataFrame, and as a query."""
+
+    df: DataFrame
+
+    def as_query(self) -> Any:
+        from tessera.plans.query import from_collection
+
+        return from_collection(self.df)
+
+
+class Multiset(Collection):
     """Elements with counts: columns element, n."""
 
     def __init__(self, counts: DataFrame):
@@ -99,7 +112,7 @@ class Multiset:
         return self.df.agg(S.coalesce(S.sum("n"), S.lit(0))).first()[0]
 
 
-class Mapping:
+class Mapping(Collection):
     """Columns key, value; unique on key."""
 
     def __init__(self, df: DataFrame):
@@ -123,22 +136,51 @@ class Mapping:
         """The other's value wins."""
         return Mapping(self.df.join(other.df.select("key"), "key", "left_anti").select("key", "value").unionAll(other.df.select("key", "value")))
 
-    def rebase(self, base: Mapping, current: Mapping) -> Mapping:
-        """Three-way merge of this map, changed since base, onto current: a number changed on both sides advances
-        current by this side's change, otherwise this side's change wins; a key removed here stays removed."""
+    def rebase(self, base: Mapping, current: Mapping, numbers: str = "increment") -> Mapping:
+        """Three-way merge of this map, changed since base, onto current. What changed on one side only is taken over, and a
+        key removed here stays removed. What changed on both sides: of whole numbers current counts one further (numbers =
+        'increment') or by this side's change ('difference'), arrays are sets and are united, maps are merged key by key by
+        the same rules, and of other values this side's wins."""
+        if numbers not in ("increment", "difference"):
+            raise ValidationError("numbers is 'increment' or 'difference'")
         mine, old, now = (m.df.select("key", S.col("value").alias(n), S.lit(True).alias(f"in_{n}")) for m, n in ((self, "mine"), (base, "old"), (current, "now")))
         j = mine.join(old, "key", "full_outer").join(now, "key", "full_outer")
-        numeric = dict(self.df.dtypes)["value"] in ("int", "bigint", "smallint", "tinyint")
-        changed = ~S.col("mine").eqNullSafe(S.col("old")) | S.col("in_old").isNull() & S.col("in_mine").isNotNull()
-        both = changed & S.col("in_now").isNotNull() & ~S.col("now").eqNullSafe(S.col("old"))
-        value = S.when(both & S.lit(numeric), S.col("now") + S.col("mine") - S.coalesce(S.col("old"), S.lit(0))) if numeric else S.when(S.lit(False), S.col("mine"))
-        value = value.when(changed, S.col("mine")).otherwise(S.col("now"))
+        kind = self.df.schema["value"].dataType
+        changed = ~_same(S.col("mine"), S.col("old"), kind) | S.col("in_old").isNull() & S.col("in_mine").isNotNull()
+        both = changed & S.col("in_now").isNotNull() & ~_same(S.col("now"), S.col("old"), kind)
+        value = S.when(both, _merged(S.col("old"), S.col("mine"), S.col("now"), kind, numbers)).when(changed, S.col("mine")).otherwise(S.col("now"))
         removed = S.col("in_old").isNotNull() & S.col("in_mine").isNull()
         kept = S.col("in_now").isNotNull() | S.col("in_mine").isNotNull() & changed
         return Mapping(j.where(~removed & kept).select("key", value.alias("value")))
 
 
-class Multimap:
+def _comparable(c: Column, kind: T.DataType) -> Column:
+    """Maps have no order and can't be compared; their sorted entries can."""
+    if not isinstance(kind, T.MapType):
+        return c
+    return S.array_sort(S.transform(S.map_entries(c), lambda e: S.struct(e.key.alias("k"), _comparable(e.value, kind.valueType).alias("v"))))
+
+
+def _same(a: Column, b: Column, kind: T.DataType) -> Column:
+    return _comparable(a, kind).eqNullSafe(_comparable(b, kind))
+
+
+def _merged(old: Column, mine: Column, now: Column, kind: T.DataType, numbers: str) -> Column:
+    """The value of a key that both sides changed."""
+    missing = mine.isNull() | now.isNull()
+    if isinstance(kind, T.IntegralType):
+        return S.when(missing, mine).otherwise(now + (S.lit(1) if numbers == "increment" else mine - S.coalesce(old, S.lit(0)))).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return S.when(missing, mine).otherwise(S.array_union(now, mine))
+    if isinstance(kind, T.MapType):
+        was = lambda k: S.element_at(old, k)
+        one = lambda k, m, n: S.when(_same(m, was(k), kind.valueType), n).when(_same(n, was(k), kind.valueType), m).otherwise(_merged(was(k), m, n, kind.valueType, numbers))
+        kept = S.map_filter(S.map_zip_with(mine, now, one), lambda k, v: v.isNotNull())
+        return S.when(missing, mine).otherwise(kept)
+    return mine
+
+
+class Multimap(Collection):
     """Columns key, value; a key may have many values, each counted once for each time it was put."""
 
     def __init__(self, df: DataFrame):
@@ -164,7 +206,7 @@ class Multimap:
         return Multimap(df.select(k.alias("key"), S.col(id_column).alias("value")).where("key is not null"))
 
 
-class PositionalList:
+class PositionalList(Collection):
     """A sequence: rows with their position in _pos, 0 up without gaps."""
 
     def __init__(self, df: DataFrame):
@@ -172,6 +214,17 @@ class PositionalList:
             raise ValidationError("a list needs a column _pos")
         self.df = df
 
+    @staticmethod
+    def of(df: DataFrame, *order: str) -> PositionalList:
+        """The rows in an order, numbered from 0: they are dealt by ranges of the order and numbered in each range after the
+        sizes of the ranges before it, so no task holds them all. Equal rows fall into one range."""
+        parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", S.spark_partition_id()).withColumn("_in", S.monotonically_increasing_id())
+        parts = staged(parts, "ordered")
+        first = parts.groupBy("_part").agg(S.min("_in").alias("_first"), S.count(S.lit(1)).alias("_n"))
+        before = first.withColumn("_before", S.coalesce(S.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), S.lit(0)))
+        numbered = parts.join(S.broadcast(before), "_part").withColumn("_pos", S.col("_in") - S.col("_first") + S.col("_before"))
+        return PositionalList(numbered.select("_pos", *df.columns))
+
     @property
     def fields(self) -> list[str]:
         return [c for c in self.df.columns if c != "_pos"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as S
 
 from tessera.errors import ValidationError
-from tessera.sources.stage import cut
+from tessera.sources.stage import cut, release, staged
 
 CHECKPOINT_EVERY = 4
 
@@ -15,13 +15,14 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "down", max_d
     """Every node reached from the starts, once, with its smallest depth.
 
     starts: column node. edges: columns src, dst; 'down' follows src to dst and 'up' dst to src. The starts count as
-    visited, so a cycle doesn't give them again. max_depth -1: no bound. Lineage is cut by reliable checkpoints.
+    visited, so a cycle doesn't give them again. max_depth -1: no bound. The different edges are staged once, dealt by their
+    source; lineage is cut by reliable checkpoints.
     """
     if direction not in ("up", "down"):
         raise ValidationError("direction is 'up' or 'down'")
     if direction == "up":
         edges = edges.select(S.col("dst").alias("src"), S.col("src").alias("dst"))
-    edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    edges = staged(edges.where("src is not null and dst is not null").select("src", "dst").distinct().repartition("src"), "graph")
     visited = starts.where("node is not null").distinct().withColumn("depth", S.lit(0))
     frontier, depth = cut(visited), 0
     visited = frontier
@@ -34,4 +35,6 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "down", max_d
         visited = visited.unionByName(frontier)
         if depth % CHECKPOINT_EVERY == 0:
             visited = cut(visited)
+    visited = cut(visited)
+    release(edges)
     return visited if include_start else visited.where("depth > 0")
