@@ -8,8 +8,6 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as S
 
@@ -42,6 +40,14 @@ class ExactIndex:
         bound = threshold if self.metric == "cosine" else -threshold
         return self._scored(q).where(S.col("score") >= bound)
 
+    def search_rows(self, q: Sequence[float], k: int) -> DataFrame:
+        """The whole rows of the k nearest, with their scores."""
+        return self.df.join(S.broadcast(self.search(q, k)), self.id)
+
+    def near(self, q: Sequence[float], threshold: float) -> DataFrame:
+        """The rows that the predicate near[] holds for."""
+        return self.df.join(self.range_search(q, threshold).select(self.id), self.id, "left_semi")
+
     def search_batch(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
         """The k nearest of every query. Queries go to each task as one matrix, which keeps its best k of each Arrow batch; a
         window merges these partial lists. More than MAX_BATCH_QUERIES queries are dealt into blocks of about that many by a
@@ -109,23 +115,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _centroids(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
+    """k-means of a bounded sample: seeds far from each other, then Lloyd's steps; an empty cell keeps its centroid."""
+    if not len(x):
+        return np.zeros((1, max(1, x.shape[1])))
+    rng = np.random.default_rng(seed)
+    c = x[rng.integers(len(x))][None]
+    near = ((x - c[0]) ** 2).sum(1)
+    while len(c) < min(k, len(x)) and near.sum() > 0:
+        c = np.vstack([c, x[rng.choice(len(x), p=near / near.sum())]])
+        near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
+    for _ in range(iterations):
+        own = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+        n = np.bincount(own, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
 class IvfIndex(ExactIndex):
-    """Inverted file: k-means cells (fitted on at most `fit_rows` rows, the model then indexes every row), a search
+    """Inverted file: k-means cells (fitted on at most `fit_rows` rows on the driver, then every row is indexed), a search
     scans the `nprobe` nearest cells and ranks exactly. With nprobe = nlist it equals the exact search."""
 
     def __init__(self, df: DataFrame, id_column: str, vector: str, metric: str, centroids: np.ndarray, nprobe: int):
         super().__init__(df, id_column, vector, metric)
-        self.centroids, self.nprobe = centroids, nprobe
+        self.centroids, self.nprobe, self._radii = centroids, nprobe, None
 
     @staticmethod
-    def build(df: DataFrame, id_column: str = "id", vector: str = "vector", metric: str = "cosine", nlist: int = 16, nprobe: int = 4, fit_rows: int = 1_000_000, seed: int = 42, iterations: int = 5) -> IvfIndex:
+    def build(df: DataFrame, id_column: str = "id", vector: str = "vector", metric: str = "cosine", nlist: int = 16, nprobe: int = 4, fit_rows: int = 20_000, seed: int = 42, iterations: int = 10) -> IvfIndex:
         usable = df.where(V.usable(S.col(vector)))
-        space = V.normalized(S.col(vector)) if metric == "cosine" else S.col(vector).cast("array<double>")
-        n = usable.count()
-        fit = usable if n <= fit_rows else usable.sample(fit_rows / n, seed=seed)
-        model = KMeans(k=min(nlist, max(2, n)), seed=seed, maxIter=iterations, featuresCol="__f", predictionCol="cid").fit(fit.select(array_to_vector(space).alias("__f")))
-        cells = model.transform(usable.withColumn("__f", array_to_vector(space))).drop("__f")
-        return IvfIndex(cells, id_column, vector, metric, np.array(model.clusterCenters()), nprobe)
+        fit = usable.select(id_column, S.col(vector).cast("array<double>").alias("v")).orderBy(S.xxhash64(id_column), id_column).limit(fit_rows)
+        x = np.array([r[1] for r in fit.collect()], dtype="float64")
+        x = _unit(x) if metric == "cosine" and len(x) else x.reshape(len(x), -1)
+        index = IvfIndex(df, id_column, vector, metric, _centroids(x, nlist, iterations, seed), nprobe)
+        return index._with(index._cells(usable))
 
     def _cells(self, rows: DataFrame) -> DataFrame:
         """Usable rows with the cell of the nearest centroid."""
@@ -154,6 +178,30 @@ class IvfIndex(ExactIndex):
     def remove(self, ids: DataFrame) -> IvfIndex:
         return self._with(super().remove(ids).df)
 
+    def radii(self) -> dict[int, float]:
+        """How far a cell's farthest vector is from its centroid; one row for each cell reaches the driver."""
+        centroids, metric = self.centroids, self.metric
+
+        @S.pandas_udf("double")
+        def far(v: pd.Series, cid: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype="float64")
+            x = np.stack(v.to_numpy()).astype("float64")
+            return pd.Series(np.linalg.norm((_unit(x) if metric == "cosine" else x) - centroids[cid.to_numpy()], axis=1))
+
+        if self._radii is None:
+            self._radii = {r[0]: r[1] for r in self.df.groupBy("cid").agg(S.max(far(S.col(self.vector), S.col("cid")))).collect()}
+        return self._radii
+
+    def near(self, q: Sequence[float], threshold: float) -> DataFrame:
+        """Exact, and reads only the cells that the triangle inequality leaves."""
+        x = np.array(V.check_vector(q))
+        x = x / (np.linalg.norm(x) or 1) if self.metric == "cosine" else x
+        reach = np.sqrt(max(0.0, 2 - 2 * threshold)) if self.metric == "cosine" else threshold
+        cells = [c for c, r in self.radii().items() if np.linalg.norm(self.centroids[c] - x) <= reach + r + 1e-6]
+        rows = self.df.where(S.col("cid").isin(cells)) if cells else self.df.limit(0)
+        return ExactIndex(rows, self.id, self.vector, self.metric).near(q, threshold)
+
     def probes(self, q: Sequence[float]) -> list[int]:
         x = np.array(V.check_vector(q))
         x = x / (np.linalg.norm(x) or 1) if self.metric == "cosine" else x
@@ -186,5 +234,8 @@ class GraphIndex(IvfIndex):
         """There is one cell."""
         return [0]
 
+    def near(self, q: Sequence[float], threshold: float) -> DataFrame:
+        return ExactIndex(self.df, self.id, self.vector, self.metric).near(q, threshold)
+
     def _cells(self, rows: DataFrame) -> DataFrame:
         return rows.where(V.usable(S.col(self.vector))).withColumn("cid", S.lit(0))
