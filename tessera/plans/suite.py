@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as S
 
 from tessera.functions import vectors as V
-from tessera.functions.fields import F
+from tessera.functions.fields import F, typed
 from tessera.operators import aggregates, joins, sets, traverse
 from tessera.operators.aggregates import Spec
 from tessera.operators.parallel import parallel_scan
@@ -17,7 +18,7 @@ from tessera.operators.vector_index import ExactIndex, IvfIndex
 from tessera.plans.query import Query, from_collection
 from tessera.plans.tokens import compile_predicate
 from tessera.sources import stage
-from tessera.sources.io import from_rows, scan_parquet, to_arrow
+from tessera.sources.io import arrow_to_parquet, from_rows, parquet_rows, scan_parquet, to_arrow, to_parquet, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -538,3 +539,302 @@ def rows_source(t):
 @query("select p_partkey * 2 as twice from part where p_partkey % 2 = 0")
 def parallel_map_filter(t):
     return parallel_scan(t.part.select("p_partkey"), lambda r: {"twice": r["p_partkey"] * 2} if r["p_partkey"] % 2 == 0 else None, "twice long")
+
+
+# prefix streams, and predicates whose first queries find nothing in small tables
+
+PART = "p_partkey, p_size"
+_tokens("where_prefix_stream", "part", ["|", "p_size", "==", 1, "p_size", "==", 2, "p_partkey", ">", 300], PART, "(p_size = 1 or p_size = 2) and p_partkey > 300")
+_tokens("where_prefix_of_prefix", "part", ["&", "|", ["p_size", "==", 1], ["p_size", "==", 2], ["p_partkey", ">", 300]], PART, "(p_size = 1 or p_size = 2) and p_partkey > 300")
+_tokens("where_prefix_then_and", "part", ["&", ["p_size", ">", 10], ["p_size", "<", 30], ["p_partkey", "<", 900]], PART, "p_size > 10 and p_size < 30 and p_partkey < 900")
+_tokens("where_prefix_not", "part", ["!", "p_size", ">", 10, "p_partkey", "<", 900], PART, "not (p_size > 10) and p_partkey < 900")
+_tokens("where_contains_word", "part", ["p_name", "contains", "ring"], "p_partkey, p_name", "contains(p_name, 'ring')")
+_tokens("where_in_string", "customer", ["c_mktsegment", "in", "BUILDING and MACHINERY"], "c_custkey, c_mktsegment", "contains('BUILDING and MACHINERY', c_mktsegment)")
+
+
+@query("select p_partkey, p_size from part where p_size in (3, 5) or p_size between 10 and 12 or (p_size > 40 and p_size <= 43) or contains(p_brand, '#25')")
+def fn_fluent_predicates(t):
+    return t.q("part").where(F.p_size.in_([3, 5]) | F.p_size.between(10, 12) | F.p_size.range(40, 43, "(]") | F.p_brand.contains("#25")).select({"p_partkey": "p_partkey", "p_size": "p_size"})
+
+
+@query("select p_partkey, 100 - p_size as a, 2 * p_size as b, 10 + p_size as c from part")
+def fn_reflected(t):
+    return t.q("part").select({"p_partkey": "p_partkey", "a": 100 - F.p_size, "b": 2 * F.p_size, "c": 10 + F.p_size})
+
+
+@query("select c_custkey from customer where c_nationkey in (select o.id from (select 3 as id union all select null) o) or c_nationkey is null")
+def where_in_null(t):
+    return t.q("customer").where(["c_nationkey", "in", [3, None]]).select({"c_custkey": "c_custkey"})
+
+
+@query(f"select vec_id from ({VEC}) where list_distance(v, q) <= 11")
+def vec_near_l2(t):
+    return t.q("embeddings").where(F.embedding.near(_q0(t), 11.0, "l2")).select({"vec_id": "vec_id"})
+
+
+@query(f"select vec_id, label, round(list_cosine_similarity(v, q), 6) as score from (select *, cast(embedding as double[]) as v from embeddings), {Q0} order by list_cosine_similarity(v, q) desc, vec_id limit 7")
+def vec_search_rows(t):
+    return ExactIndex(t.embeddings, "vec_id", "embedding").search_rows(_q0(t), 7).select("vec_id", "label", S.round("score", 6).alias("score"))
+
+
+@query(f"select vec_id from ({VEC}) where list_cosine_similarity(v, q) >= 0.2")
+def vec_near_by_index(t):
+    index = IvfIndex.build(t.embeddings, "vec_id", "embedding", nlist=8)
+    return t.q("embeddings").near(index, _q0(t), 0.2).select({"vec_id": "vec_id"})
+
+
+# user functions
+
+
+def _weight(r) -> float:
+    return float(len(str(r.p_name))) + float(str(r.p_size))
+
+
+@query("select p_partkey, length(p_name) + p_size + 0.0 as w from part order by w desc, p_partkey limit 30")
+def udf_order_typed(t):
+    q = t.q("part").order_by(_weight, ascending=False).then_by("p_partkey").take(30)
+    return q.select({"p_partkey": "p_partkey", "w": _weight})
+
+
+@query("select p_partkey, 'v' || p_size as tag, length(p_name) as n from part")
+def udf_select_typed(t):
+    return t.q("part").select({"p_partkey": "p_partkey", "tag": typed(lambda r: f"v{r.p_size}", "string"), "n": typed(lambda r: len(r.p_name), "long")})
+
+
+@query("select p_size // 10 as decade, count(*) as n from part group by 1")
+def udf_group_key(t):
+    return t.q("part").group_by(typed(lambda r: int(r.p_size) // 10, "long")).select({"decade": F.key(), "n": F.count()})
+
+
+# terminals
+
+
+def _said(t: Tables, schema: str, *values) -> DataFrame:
+    return t.spark.createDataFrame([values], schema)
+
+
+@query("select cast(sum(l_linenumber) as bigint) as value from lineitem")
+def term_sum(t):
+    return _said(t, "value long", t.q("lineitem").sum(F.l_linenumber))
+
+
+@query("select min(l_quantity) as value from lineitem where l_quantity > 7")
+def term_min(t):
+    return _said(t, "value double", t.q("lineitem").where(F.l_quantity > 7).min(F.l_quantity))
+
+
+@query("select max(l_extendedprice) as value from lineitem")
+def term_max(t):
+    return _said(t, "value double", t.q("lineitem").max("l_extendedprice"))
+
+
+@query("select round(avg(l_discount), 9) as value from lineitem")
+def term_average(t):
+    return _said(t, "value double", round(t.q("lineitem").average(F.l_discount), 9))
+
+
+@query("select count(*) as n, count(*) filter (where l_quantity > 25) as some from lineitem")
+def term_count(t):
+    q = t.q("lineitem")
+    return _said(t, "n long, some long", q.count(), q.count(F.l_quantity > 25))
+
+
+@query("select (select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 1) as first, (select o_orderkey from orders where o_totalprice < 60000 order by o_totalprice desc, o_orderkey limit 1) as below, -1 as none")
+def term_first(t):
+    q = t.q("orders").order_by("o_totalprice", ascending=False).then_by("o_orderkey").select(F.o_orderkey)
+    below = t.q("orders").where(F.o_totalprice < 60000).order_by("o_totalprice", ascending=False).then_by("o_orderkey").select(F.o_orderkey)
+    return _said(t, "first long, below long, none long", q.first(), below.first(), q.first_or_default(-1, F.value < 0))
+
+
+@query("select r_regionkey as k, r_name as v from region")
+def term_to_dict(t):
+    return t.spark.createDataFrame(sorted(t.q("region").to_dict(F.r_regionkey, F.r_name).items()), "k int, v string")
+
+
+@query("select distinct n_regionkey as value from nation")
+def term_to_set(t):
+    return t.spark.createDataFrame([(v,) for v in sorted(t.q("nation").select(F.n_regionkey).to_set())], "value int")
+
+
+# joins, from, correlated collections
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
+def join_anti_dear(t):
+    return joins.join(t.customer, t.orders.where("o_totalprice > 300000"), "anti", [("c_custkey", "o_custkey")], "c", "o").select("c.c_custkey")
+
+
+@query("with a as (select case when n_nationkey % 5 > 0 then n_nationkey end as k, n_name from nation), b as (select case when r_regionkey > 0 then r_regionkey end as k, r_name from region) select n_name, r_name from a left join b on a.k = b.k")
+def join_on_null_keys(t):
+    a = t.nation.select(S.when(S.col("n_nationkey") % 5 > 0, S.col("n_nationkey")).alias("k"), "n_name")
+    b = t.region.select(S.when(S.col("r_regionkey") > 0, S.col("r_regionkey")).alias("k"), "r_name")
+    return joins.join(a, b, "left", "k", "a", "b").select("a.n_name", "b.r_name")
+
+
+@query("with a as (select case when n_nationkey % 5 > 0 then n_nationkey end as k, n_name from nation), b as (select case when r_regionkey > 0 then r_regionkey end as k, r_name from region) select n_name, r_name from a join b on a.k is not distinct from b.k")
+def join_null_safe(t):
+    a = t.nation.select(S.when(S.col("n_nationkey") % 5 > 0, S.col("n_nationkey")).alias("k"), "n_name")
+    b = t.region.select(S.when(S.col("r_regionkey") > 0, S.col("r_regionkey")).alias("k"), "r_name")
+    return joins.join(a, b, "inner", "k", "a", "b", null_safe=True).select("a.n_name", "b.r_name")
+
+
+@query("select n_name from nation where n_regionkey = 3")
+def from_alias(t):
+    return t.q("nation").alias("n").where(["n.n_regionkey", "==", 3]).select({"n_name": F.n.n_name})
+
+
+@query("select c_custkey, o_orderkey from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_totalprice desc, o_orderkey) as rn from customer join orders on c_custkey = o_custkey where c_nationkey = 4) where rn <= 2")
+def select_many_lateral(t):
+    orders = t.q("orders")
+    q = t.q("customer").where(F.c_nationkey == 4).select_many(
+        lambda c: orders.where(F.o_custkey == c.c_custkey).order_by(F.o_totalprice, ascending=False).then_by(F.o_orderkey).take(2),
+        result=lambda c, o: {"c_custkey": c.c_custkey, "o_orderkey": o.o_orderkey},
+    )
+    return q
+
+
+@query("select doc_id, unnest([lang, source]) as value from documents")
+def select_many_callable(t):
+    q = t.q("documents").select({"doc_id": "doc_id", "both": S.array("lang", "source")})
+    return q.select_many(lambda d: d.both, result=lambda d, x: {"doc_id": d.doc_id, "value": x})
+
+
+@query("select p_partkey, unnest(string_split(p_name, ' ')) as word from part")
+def select_many_python(t):
+    return t.q("part").select_many(typed(lambda p: p.p_name.split(" "), "array<string>"), result=lambda p, w: {"p_partkey": p.p_partkey, "word": w})
+
+
+@query("select c_custkey, o_orderkey from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderkey) as rn from customer join orders on c_custkey = o_custkey) where rn <= 3")
+def select_many_default_order(t):
+    return t.q("customer").select_many(t.orders.select("o_orderkey", "o_custkey"), on=[("c_custkey", "o_custkey")], n=3).select({"c_custkey": "c_custkey", "o_orderkey": "o_orderkey"})
+
+
+@query("select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by 1")
+def group_array_strings(t):
+    g = aggregates.group(t.nation, ["n_regionkey"], [Spec("array", "n_name", "names")])
+    return g.withColumn("names", S.array_join(S.array_sort("names"), ","))
+
+
+@query(f"with recursive {TREE}, w as (select cast(7 as bigint) as node, 0 as depth union select dst, depth + 1 from w join e on e.src = node where depth < 4) select node, depth from w where depth > 0")
+def traverse_query(t):
+    return t.q("part").where(["p_partkey", "==", 7]).traverse(_edges(t), "p_partkey", max_depth=4)
+
+
+# collections and their edits
+
+
+def _list(t: Tables) -> PositionalList:
+    return PositionalList.of(t.nation.select("n_nationkey", "n_name"), "n_nationkey")
+
+
+NUMBERED = "(select row_number() over (order by n_nationkey) - 1 as _pos, n_nationkey, n_name from nation)"
+
+
+@query(f"select * from {NUMBERED}")
+def list_of_order(t):
+    return _list(t).df
+
+
+@query(f"select _pos - 5 as _pos, n_nationkey, n_name from {NUMBERED} where _pos >= 5 and _pos < 9")
+def list_head_tail(t):
+    return _list(t).head(9).tail(5).df
+
+
+@query(f"select _pos - 20 as _pos, n_nationkey, n_name from {NUMBERED} where _pos >= 20 and _pos < 24")
+def list_negative_slice(t):
+    return _list(t).slice(-5, -1).df
+
+
+@query(f"""with a as (select * from {NUMBERED} where _pos <> 3),
+b as (select case when _pos > 3 then _pos - 1 else _pos end as _pos, n_nationkey, n_name from a),
+c as (select case when _pos >= 2 then _pos + 1 else _pos end as _pos, n_nationkey, n_name from b union all select 2, 77, 'inserted'),
+d as (select _pos, case when _pos = 0 then 88 else n_nationkey end as n_nationkey, case when _pos = 0 then 'set' else n_name end as n_name from c)
+select * from d union all select 25, 99, 'last'""")
+def list_edits(t):
+    return _list(t).remove(3).insert(2, 77, "inserted").set(0, 88, "set").append_last(99, "last").df
+
+
+@query(f"select _pos, n_nationkey from {NUMBERED} where _pos < 3 union all select _pos + 3, n_nationkey from {NUMBERED} where _pos < 2")
+def list_extend(t):
+    p = _list(t)
+    return p.head(3).extend(p.head(2)).df.select("_pos", "n_nationkey")
+
+
+@query(f"select n_name from {NUMBERED} where _pos = 24")
+def list_get_last(t):
+    return _said(t, "n_name string", _list(t).get(-1).n_name)
+
+
+@query("select element, n from (select c_nationkey as element, count(*) + (c_nationkey = 3)::int * 2 - (c_nationkey = 4)::int as n from customer group by 1) union all select 99, 1")
+def multiset_edits(t):
+    return Multiset.of(t.customer, "c_nationkey").add(3, 2).remove(4).add(99).df
+
+
+@query("select count(*) as total, count(distinct c_nationkey) as different from customer")
+def multiset_totals(t):
+    m = Multiset.of(t.customer, "c_nationkey")
+    return _said(t, "total long, different long", m.total_count(), m.count())
+
+
+@query("select n_nationkey as key, case when n_nationkey = 2 then 'two' else n_name end as value from nation where n_nationkey <> 5 union all select 50, 'fifty'")
+def map_edits(t):
+    return Mapping(t.nation.select(S.col("n_nationkey").alias("key"), S.col("n_name").alias("value"))).set(2, "two").set(50, "fifty").remove(5).df
+
+
+@query("select key, value from (values (1, 12), (2, 20), (3, 31), (5, 50), (6, 60)) x(key, value)")
+def map_rebase(t):
+    m = lambda **kv: Mapping(t.spark.createDataFrame([(int(k[1:]), v) for k, v in kv.items()], "key int, value int"))
+    # both changed 1, only the other side 2, only this side 3; 4 is removed here; 5 is new here, 6 there
+    return m(_1=15, _2=10, _3=31, _5=50).rebase(m(_1=10, _2=10, _3=30, _4=40), m(_1=11, _2=20, _3=30, _4=41, _6=60)).df
+
+
+@query("select n_regionkey as key, n_name as value from nation where n_name <> 'NATION_7' union all select 2, 'NEW'")
+def multimap_edits(t):
+    m = Multimap(t.nation.select(S.col("n_regionkey").alias("key"), S.col("n_name").alias("value")))
+    return m.put(2, "NEW").remove(2, "NATION_7").df
+
+
+@query("select p_size as element, count(*) as n from part where p_size < 5 group by 1")
+def collection_as_query(t):
+    return Multiset.of(t.part, "p_size").as_query().where(["element", "<", 5])
+
+
+@query("select k from (select distinct p_size as k from part) where k not in (select s_nationkey from supplier)")
+def set_difference_sizes(t):
+    return sets.difference(t.part.select(S.col("p_size").alias("k")), t.supplier.select(S.col("s_nationkey").alias("k")))
+
+
+@query("select k from (select distinct n_nationkey as k from nation where n_nationkey <> 4) union all select 77")
+def set_edits(t):
+    return sets.remove(sets.add(t.nation.select(S.col("n_nationkey").alias("k")), 77), 4)
+
+
+# sinks
+
+
+def _new(t: Tables, name: str) -> str:
+    return f"{stage.shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def sink_parquet(t):
+    to_parquet(t.nation, path := _new(t, "sink"), row_group_bytes=1 << 20, partition_by=["n_regionkey"])
+    return t.spark.read.parquet(path)
+
+
+@query("select r_regionkey, r_name from region")
+def sink_arrow_parquet(t):
+    arrow_to_parquet(t.spark, to_arrow(t.region, ["r_regionkey", "r_name"]), path := _new(t, "sink"), compression="snappy")
+    return t.spark.read.parquet(path)
+
+
+@query("select r_regionkey, r_name from region where r_regionkey < 3")
+def parquet_to_rows(t):
+    return from_rows(t.spark, parquet_rows(t.spark, f"{t.folder}/region.parquet", ["r_regionkey", "r_name"], ["r_regionkey", "<", 3]), "r_regionkey int, r_name string")
+
+
+@query("select vec_id, len(embedding) as dim from embeddings")
+def sink_vectors(t):
+    dim = len(_q0(t))
+    to_parquet(vectors(t.embeddings, "embedding", dim), path := _new(t, "vectors"))
+    return t.spark.read.parquet(path).select("vec_id", S.size("embedding").alias("dim"))
