@@ -40,9 +40,7 @@ def _where(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go."""
-    rows = _keyed(docs)
-    model = toxicity.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _where(rows, toxicity.score(_numbered(rows), model).where("predicted = 1"), "left_anti").select(*docs.columns)
+    return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -395,14 +395,29 @@ def probabilities(strings: list[str], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model["by"] + model["offset"], -700, 700)))
 
 
+def _scores(column: pa.Array, model: dict) -> np.ndarray:
+    lens = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+    return np.concatenate([np.empty(0), *(probabilities([t or "" for t in column.slice(a, z - a).to_pylist()], model) for a, z in chunks(bounds, 1 << 19))])
+
+
+def clean(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under 0.5."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield b.filter(pa.array(_scores(b.column(at).cast(pa.string()), model) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, predicted of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            lens = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-            bounds = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-            p = np.concatenate([np.empty(0), *(probabilities([t or "" for t in b.column(1).slice(a, z - a).to_pylist()], model) for a, z in chunks(bounds, 1 << 19))])
+            p = _scores(b.column(1), model)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return texts(docs).mapInArrow(run, RESULT)
