@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.arrow import texts
 
 MARK = "▁"
-CACHE = 200_000
+CACHE = 100_000
 LOWEST = float("-inf")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
