@@ -17,6 +17,7 @@ from tessera.sources.stage import staged
 
 METRICS = ("cosine", "l2")
 MAX_BATCH_QUERIES = 100_000
+MAX_BATCH_BYTES = 64 << 20
 SCORES = 1 << 22
 
 
@@ -50,14 +51,15 @@ class ExactIndex:
 
     def search_batch(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
         """The k nearest of every query. Queries go to each task as one matrix, which keeps its best k of each Arrow batch; a
-        window merges these partial lists. More than MAX_BATCH_QUERIES queries are dealt into blocks of about that many by a
+        window merges these partial lists. More than MAX_BATCH_QUERIES queries, or MAX_BATCH_BYTES of them, are dealt into blocks of about that many by a
         hash, each is run against all rows and its result staged before the next one comes to the driver."""
         q = queries.select(S.col(query_id).cast("long").alias("query_id"), S.col(vector).cast("array<double>").alias("vector"))
-        n = q.count()
-        if n <= MAX_BATCH_QUERIES:
+        n, dim = q.agg(S.count(S.lit(1)), S.coalesce(S.max(S.size("vector")), S.lit(1))).first()
+        most = max(1, min(MAX_BATCH_QUERIES, MAX_BATCH_BYTES // (8 * max(1, dim))))
+        if n <= most:
             return self._block(q, k)
         # by the id: rows of one query_id are ranked together
-        blocks = -(-n // MAX_BATCH_QUERIES)
+        blocks = -(-n // most)
         q = staged(q.withColumn("block", S.pmod(S.xxhash64("query_id"), S.lit(blocks))), "queries")
         out = None
         for i in range(blocks):

@@ -12,7 +12,7 @@ from tessera.functions import vectors as V
 from tessera.functions.fields import F, typed
 from tessera.operators import aggregates, joins, sets, traverse
 from tessera.operators.aggregates import Spec
-from tessera.operators.parallel import parallel_scan
+from tessera.operators.parallel import clustered, flat_scan, parallel_scan
 from tessera.operators.sets import Mapping, Multimap, Multiset, PositionalList
 from tessera.operators.vector_index import ExactIndex, IvfIndex
 from tessera.plans.query import Query, from_collection
@@ -838,3 +838,29 @@ def sink_vectors(t):
     dim = len(_q0(t))
     to_parquet(vectors(t.embeddings, "embedding", dim), path := _new(t, "vectors"))
     return t.spark.read.parquet(path).select("vec_id", S.size("embedding").alias("dim"))
+
+
+@query(f"with recursive {TREE}, w as (select cast(3 as bigint) as node, 0 as depth, '3' as path union select dst, depth + 1, path || '>' || dst from w join e on e.src = node where depth < 5) select node, depth, path from w where depth > 0")
+def traverse_paths(t):
+    found = traverse.traverse(t.part.where("p_partkey = 3").select(S.col("p_partkey").alias("node")), _edges(t), max_depth=5, path=True)
+    return found.withColumn("path", S.array_join(S.transform("path", lambda x: x.cast("string")), ">"))
+
+
+@query("select l_orderkey, l_partkey, l_quantity from lineitem where l_partkey >= 100 and l_partkey < 120")
+def index_clustered(t):
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
+    to_parquet(clustered(rows, "l_partkey", 8), path := _new(t, "clustered"), row_group_bytes=1 << 20)
+    return from_collection(t.spark.read.parquet(path)).where(["l_partkey", "between[)", 100, 120])
+
+
+@query("select p_partkey, unnest(range(cast(p_size % 4 as bigint))) as i from part")
+def flat_map_rows(t):
+    return flat_scan(t.part.select("p_partkey", "p_size"), lambda r: [{"p_partkey": r["p_partkey"], "i": i} for i in range(r["p_size"] % 4)], "p_partkey long, i long")
+
+
+@query("select c_custkey, o_orderkey from customer join orders on o_custkey = c_custkey and o_totalprice > c_acctbal * 45 where c_acctbal > 0 and o_orderkey % 10 = 0")
+def lateral_inequality(t):
+    orders = t.q("orders").where(S.col("o_orderkey") % 10 == 0)
+    dear = lambda c: orders.where((F.o_custkey == c.c_custkey) & (F.o_totalprice > 0))
+    q = t.q("customer").where(F.c_acctbal > 0).select_many(dear, result=lambda c, o: {"c_custkey": c.c_custkey, "o_orderkey": o.o_orderkey, "p": o.o_totalprice, "b": c.c_acctbal})
+    return q.where(F.p > F.b * 45).select({"c_custkey": "c_custkey", "o_orderkey": "o_orderkey"})
