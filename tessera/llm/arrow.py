@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,5 +49,45 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, clear: Callable[[], None]) -> None:
+    """Says how to drop what an operator keeps in a worker process from task to task."""
+    _kept[owner] = clear
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
+def enter(owner: str) -> None:
+    """Drops what other operators keep in this process. (A function of the module, as closures travel with copies of its
+    variables.)"""
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        gc.collect()
+    trim()
+
+
+def tidied(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same map over batches. Worker processes serve one operator after another: what others keep goes before it
+    begins, and what it has freed goes back to the system when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

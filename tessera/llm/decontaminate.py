@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import chunks, flat, texts
+from tessera.llm.arrow import chunks, flat, texts, tidied
 from tessera.llm.words import ALNUM_WORDS, tokens
 from tessera.sources.stage import staged
 
@@ -170,7 +170,7 @@ def term_counts(docs: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["term", "n"])
 
     out = np.zeros(n, np.int64)
-    for r in docs.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.mapInArrow(tidied("decontaminate", run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r[0]] = r[1]
     return out
 
@@ -197,7 +197,7 @@ def build_index(docs: DataFrame, items: Items, first: np.ndarray) -> DataFrame:
                     terms[d], positions[d] = own[p], p
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(counts), pa.array(terms, pa.list_(pa.int32())), pa.array(positions, pa.list_(pa.int32()))], names=["doc_id", "row", "n_words", "terms", "positions"])
 
-    return docs.mapInArrow(run, INDEX)
+    return docs.mapInArrow(tidied("decontaminate", run), INDEX)
 
 
 def match(terms: np.ndarray, positions: np.ndarray, n_words: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +252,7 @@ def hits(index: DataFrame, items: Items, plan: Plan, near: Near) -> DataFrame:
             texts_, ints = pa.list_(pa.string()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out_i, texts_), pa.array(out_s, ints), pa.array(out_e, ints), pa.array(out_n, texts_)], names=["doc_id", "row", "n_words", "items", "starts", "ends", "near"])
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(tidied("decontaminate", run), HITS)
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -312,7 +312,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 close.append(len(set(c)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(close, pa.int64())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"])
 
-    return all_hits.mapInArrow(run, RESULT)
+    return all_hits.mapInArrow(tidied("decontaminate", run), RESULT)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -331,7 +331,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, key: str
                         out += [(doc, names[i], a, z) for i, a, z in near.find(t.values.to_numpy(), p.values.to_numpy(), present)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "start", "length"])
 
-        parts.append(staged(build_index(docs, items, near.first), "postings").mapInArrow(run, "doc_id long, item_id string, start int, length int"))
+        parts.append(staged(build_index(docs, items, near.first), "postings").mapInArrow(tidied("decontaminate", run), "doc_id long, item_id string, start int, length int"))
     out = parts[0] if parts else docs.sparkSession.createDataFrame([], "doc_id long, item_id string, start int, length int")
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bits
-from tessera.llm.arrow import texts
+from tessera.llm.arrow import texts, tidied
 from tessera.llm.words import mix
 from tessera.sources.stage import staged
 
@@ -129,7 +129,7 @@ def _candidates(docs: DataFrame, bitmap: np.ndarray, near: int) -> DataFrame:
                 docs_, lines_ = [first[s][0] for s in part], [first[s][1] for s in part]
                 yield pa.RecordBatch.from_arrays([pa.array(lh), pa.array(docs_, pa.int64()), pa.array(lines_, pa.int32()), pa.array(part, pa.string()), pa.array(hit[at].astype(np.int32))], names=["line_hash", "doc_id", "line", "text", "halves"])
 
-    found = docs.mapInArrow(run, CANDIDATES)
+    found = docs.mapInArrow(tidied("line_dedup", run), CANDIDATES)
     one = found.groupBy("line_hash").agg(F.min(F.struct("doc_id", "line")).alias("own"), F.min("text").alias("text"), F.min("halves").alias("halves"))
     return one.select("line_hash", "own.doc_id", "own.line", "text", "halves")
 
@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, exact: int = EXACT, near: int = NEAR) -> DataFrame:
             cols = [pa.array(out, pa.string()) if i == place else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied("line_dedup", run), schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

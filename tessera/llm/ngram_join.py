@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bits
-from tessera.llm.arrow import chunks, flat, partitions, texts
+from tessera.llm.arrow import chunks, flat, partitions, texts, tidied
 from tessera.llm.components import components
 from tessera.llm.words import SPACE_WORDS, mix, shingles, tokens
 from tessera.sources.stage import release, staged
@@ -105,7 +105,7 @@ def set_keys(docs: DataFrame, k: int = K) -> DataFrame:
         for b, doc, s, size, (x, y) in _each(batches, k):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(2), sketch(doc, s, size, 1), sketch(doc, s, size, WIDE)], names=["doc_id", "n_shingles", "node", "node2", "text_key", "sketch", "wide"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(tidied("ngram_join", run), SETS)
 
 
 def counter(s: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
     out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for r in docs.mapInArrow(run, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").collect():  # COUNTERS bytes
+    for r in docs.mapInArrow(tidied("ngram_join", run), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(tidied("ngram_join", add), "slice int, levels binary").collect():  # COUNTERS bytes
         out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
     return out.reshape(-1)
 
@@ -212,7 +212,7 @@ def postings(docs: DataFrame, levels: np.ndarray, k: int, buckets: int) -> DataF
             parts = [p.tobytes() for p in np.split(rows, first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(parts, pa.binary())], names=["bucket", "entries"])
 
-    return docs.mapInArrow(run, "bucket long, entries binary")
+    return docs.mapInArrow(tidied("ngram_join", run), "bucket long, entries binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, place_a: np.ndarray, place_b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +275,7 @@ def lists(packed: DataFrame, parts: int, buckets: int) -> DataFrame:
         if held:
             yield from flush(held, bucket)
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, LISTS)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied("ngram_join", run), LISTS)
 
 
 def full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
@@ -292,7 +292,7 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
                     seen.update(int(node[i]) for i in out)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[out]), pa.array([s[begin[i] : begin[i] + size[i]].tobytes() for i in out], pa.binary())], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return docs.mapInArrow(tidied("ngram_join", run), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -314,7 +314,7 @@ def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int) -> Data
                 ok.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return staged(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "links")
+    return staged(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(tidied("ngram_join", run), "u long, v long"), "links")
 
 
 def labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -415,7 +415,7 @@ def sifted(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, parts:
 
     rows = _mixed(labelled(found, labels), ["token"])
     dealt = rows.join(shapes, "node").select(*kept, "salted", "label", "sketch").repartition(parts, "token", "salt").sortWithinPartitions("token", "salt")
-    return dealt.mapInArrow(run, LISTS.replace(" salted boolean,", ""))
+    return dealt.mapInArrow(tidied("ngram_join", run), LISTS.replace(" salted boolean,", ""))
 
 
 ENTRY = ["node", "size", "matches", "place", "label", "sketch"]
@@ -447,7 +447,7 @@ def stars(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, turn: i
             yield pa.RecordBatch.from_arrays([pa.array(e.node[member[once]]), pa.array(e.node[hub[once]]), pa.array(draw[hub[once]].view(np.int64))], names=["node", "hub", "draw"])
 
     dealt = rows.join(shapes, "node").select("token", "salt", *ENTRY).repartition(parts, "token", "salt").sortWithinPartitions("token", "salt")
-    met = dealt.mapInArrow(run, "node long, hub long, draw long").distinct()
+    met = dealt.mapInArrow(tidied("ngram_join", run), "node long, hub long, draw long").distinct()
     best = met.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("draw", "hub"))).where(F.col("n") <= HUBS)
     return best.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
@@ -482,7 +482,7 @@ def rest(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, parts: i
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(e.node[i], e.node[j])), pa.array(np.maximum(e.node[i], e.node[j])), pa.array(np.minimum(e.matches[i], e.matches[j]))], names=["u", "v", "need"])
 
-    pairs = dealt.mapInArrow(run, "u long, v long, need int")
+    pairs = dealt.mapInArrow(tidied("ngram_join", run), "u long, v long, need int")
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("u", "v")
 
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.arrow import texts
+from tessera.llm.arrow import keep, texts, tidied
 
 MARK = "▁"
-CACHE = 100_000
+CACHE = 50_000
 LOWEST = float("-inf")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -254,6 +254,7 @@ def encoder(model: bytes) -> Bpe:
     if key not in _models:
         _models.clear()
         _models[key] = Bpe(model)
+    keep("sentencepiece", _models.clear)
     return _models[key]
 
 
@@ -267,7 +268,7 @@ def token_digests(docs: DataFrame, model: bytes) -> DataFrame:
             n, i, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(tidied("sentencepiece", run), SCHEMA)
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 part = b.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.encode(t.as_py()) for t in part.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(tidied("sentencepiece", run), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, model: bytes) -> DataFrame:
@@ -291,7 +292,7 @@ def decode(ids: DataFrame, model: bytes) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidied("sentencepiece", run), "doc_id long, text string")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

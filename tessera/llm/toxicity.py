@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import chunks, small, texts
+from tessera.llm.arrow import chunks, small, texts, tidied, trim
 from tessera.llm.words import BYTE, POWER, mix
 from tessera.sources.stage import staged
 
@@ -349,7 +349,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, room: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(w for w in _split(t.as_py()) if len(w) > 2)) for t in b.column(2)], pa.string())], names=["doc_id", "toxic", "words"])
 
     # at most 2 * most rows of two integers
-    found = texts(docs).where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, words string")
+    found = texts(docs).where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(tidied("toxicity", run), "doc_id long, toxic int, words string")
     found = staged(found.groupBy("doc_id", "toxic").agg(F.min("words").alias("words")), "sample")
     out = []
     for y in (0, 1):
@@ -409,7 +409,7 @@ def clean(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for b in small(batches):
             yield b.filter(pa.array(_scores(b.column(at).cast(pa.string()), model) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied("toxicity", run), docs.schema)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -420,11 +420,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             p = _scores(b.column(1), model)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return texts(docs).mapInArrow(run, RESULT)
+    return texts(docs).mapInArrow(tidied("toxicity", run), RESULT)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    return learn(sample(docs, labels))
+    model = learn(sample(docs, labels))
+    trim()
+    return model
 
 
 def held_out(doc_id: int) -> bool:
