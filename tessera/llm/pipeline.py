@@ -64,10 +64,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the digests of its tokens."""
+    """doc_id and the digests of its tokens. Workers that have served the other stages get smaller caches."""
     import public_tokenizers
 
-    return sentencepiece_bpe.token_digests(docs, sentencepiece_bpe.model_bytes(public_tokenizers.path("piece_bpe_32k.model")))
+    return sentencepiece_bpe.token_digests(docs, sentencepiece_bpe.model_bytes(public_tokenizers.path("piece_bpe_32k.model")), 50_000)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.arrow import keep, texts, tidied
 
 MARK = "▁"
-CACHE = 50_000
+CACHE = 200_000
 LOWEST = float("-inf")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -55,7 +55,7 @@ class Generations:
 class Bpe:
     """The encoder and decoder of one model (BPE with byte fallback or an unknown piece, identity normalization)."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cache: int = CACHE):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.sp = sp
         n = sp.get_piece_size()
@@ -83,9 +83,9 @@ class Bpe:
         self.line = lone
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not inner else re.compile(r"(?s).+")
         self.split = not inner
-        self.marked, self.bare = Generations(CACHE), Generations(CACHE // 4)
+        self.marked, self.bare = Generations(cache), Generations(cache // 4)
         self.inside = {two for p in self.id for two in zip(p, p[1:])}
-        self.stretches = Generations(CACHE)
+        self.stretches = Generations(cache)
         self.newline = self._facts("\n") if lone else None
 
     def merge(self, s: str) -> list[str]:
@@ -248,21 +248,22 @@ def _utf8(b: bytes) -> str:
 _models: dict[bytes, Bpe] = {}
 
 
-def encoder(model: bytes) -> Bpe:
+def encoder(model: bytes, cache: int = CACHE) -> Bpe:
     """One encoder for each worker process, so that its cache lives on from task to task."""
-    key = hashlib.sha256(model).digest()
+    key = hashlib.sha256(model).digest() + str(cache).encode()
     if key not in _models:
         _models.clear()
-        _models[key] = Bpe(model)
+        _models[key] = Bpe(model, cache)
     keep("sentencepiece", _models.clear)
     return _models[key]
 
 
-def token_digests(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
+def token_digests(docs: DataFrame, model: bytes, cache: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. cache: how many stretches a worker remembers; it
+    changes time and memory, not the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(model)
+        bpe = encoder(model, cache)
         for b in batches:
             rows = [bpe.digest(t.as_py()) for t in b.column(1)]
             n, i, d = zip(*rows) if rows else ((), (), ())
