@@ -51,7 +51,12 @@ SALTED = 600  # documents a list, beyond which it is salted
 BLOCK = 1000
 SKETCH_BITS = 1 << 15  # of the longest sketch
 WIDE = 8  # bits of a wide sketch for each bit of the other
-SETS = "doc_id long, n_shingles long, node long, node2 long, text_key long, sketch binary, wide binary"
+SETS = "doc_id long, n_shingles long, node long, node2 long, text_key long, sketch binary"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Staged; its shuffle files go at once."""
+    return staged(df, name, tidy=True)
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,16 +99,17 @@ def _each(batches: Iterator[pa.RecordBatch], k: int):
             yield b.slice(a, z - a), doc, s, size, nodes(doc, s, size)
 
 
-def set_keys(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, the node of its set (two 64-bit halves), a hash of the text, and the set's sketches."""
+def _sketch(doc: np.ndarray, s: np.ndarray, size: np.ndarray, times: int = 1) -> pa.Array:
+    data, offsets = sketches(doc, s, size, times)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
-    def sketch(doc, s, size, times):
-        data, offsets = sketches(doc, s, size, times)
-        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+def set_keys(docs: DataFrame, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, the node of its set (two 64-bit halves), a hash of the text, and the set's sketch."""
 
     def run(batches):
         for b, doc, s, size, (x, y) in _each(batches, k):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(2), sketch(doc, s, size, 1), sketch(doc, s, size, WIDE)], names=["doc_id", "n_shingles", "node", "node2", "text_key", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(2), _sketch(doc, s, size)], names=["doc_id", "n_shingles", "node", "node2", "text_key", "sketch"])
 
     return docs.mapInArrow(tidied("ngram_join", run), SETS)
 
@@ -137,8 +143,10 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
     out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for r in docs.mapInArrow(tidied("ngram_join", run), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(tidied("ngram_join", add), "slice int, levels binary").collect():  # COUNTERS bytes
+    levels = kept(docs.mapInArrow(tidied("ngram_join", run), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(tidied("ngram_join", add), "slice int, levels binary"), "levels")
+    for r in levels.collect():  # COUNTERS bytes
         out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
+    release(levels)
     return out.reshape(-1)
 
 
@@ -278,28 +286,44 @@ def lists(packed: DataFrame, parts: int, buckets: int) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied("ngram_join", run), LISTS)
 
 
-def full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
-    """(node, shingles): the packed sorted sets of the texts whose hashes are in a bitmap (and a few more), once for each node."""
+def _once(docs: DataFrame, keys: DataFrame, ends: DataFrame, k: int, column: str, value) -> DataFrame:
+    """(node, column): value(doc, s, size) of the sets of the nodes in ends (and a few more), once for each node. Only the
+    texts whose hashes are in a bitmap are looked at."""
+    chosen = keys.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    wanted = bits.collect_bits(chosen, "text_key")
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             b = b.filter(pa.array(bits.has(wanted, b.column(2).to_numpy())))
             for _, doc, s, size, (node, _) in _each([b], k):
-                begin = np.cumsum(size) - size
                 out = [i for i in np.flatnonzero(size > 0).tolist() if int(node[i]) not in seen]
                 if len(seen) < 200_000:
                     seen.update(int(node[i]) for i in out)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[out]), pa.array([s[begin[i] : begin[i] + size[i]].tobytes() for i in out], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[out]), value(doc, s, size).take(pa.array(out, pa.int64()))], names=["node", column])
+
+    return docs.mapInArrow(tidied("ngram_join", run), f"node long, {column} binary").groupBy("node").agg(F.first(column).alias(column))
 
-    return docs.mapInArrow(tidied("ngram_join", run), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+def full_sets(docs: DataFrame, keys: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the packed sorted sets of the nodes in ends, and of a few more."""
+
+    def packed(doc, s, size):
+        begin = np.cumsum(size) - size
+        return pa.array([s[a : a + n].tobytes() for a, n in zip(begin, size)], pa.binary())
+
+    return _once(docs, keys, ends, k, "shingles", packed)
+
+
+def wide_shapes(docs: DataFrame, keys: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+    """(node, sketch): the wide sketches of the nodes in ends, and of a few more."""
+    return _once(docs, keys, ends, k, "sketch", lambda doc, s, size: _sketch(doc, s, size, WIDE))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar. pairs is a staged table."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    chosen = keys.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    own = full_sets(docs, bits.collect_bits(chosen, "text_key"), k)
+    own = full_sets(docs, keys, ends, k)
     a, b = own.select(F.col("node").alias("u"), F.col("shingles").alias("x")), own.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
 
     def run(batches):
@@ -314,7 +338,7 @@ def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int) -> Data
                 ok.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return staged(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(tidied("ngram_join", run), "u long, v long"), "links")
+    return kept(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(tidied("ngram_join", run), "u long, v long"), "links")
 
 
 def labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -459,7 +483,8 @@ def rest(found: DataFrame, labels: DataFrame | None, shapes: DataFrame, parts: i
     info = sizes.groupBy("token").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     info = info.select("token", F.col("top.label").alias("main"), F.when(F.col("all") > BLOCK, blocks(F.col("top.c"))).otherwise(0).alias("main_blocks"), F.when(F.col("all") > BLOCK, blocks(F.col("all") - F.col("top.c"))).otherwise(0).alias("blocks"))
-    rows = rows.join(shapes, "node").join(info, "token")
+    # the sketches come last, and only to lists that hold two components or more
+    rows = rows.join(info, "token").join(shapes, "node")
     # (first block, second block, side): each pair of entries meets under one key, on different sides or, side 2, in one block
     key = lambda a, z, side: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"), side.cast("int").alias("side"))
     own = lambda n: F.pmod(F.xxhash64("node", "token"), F.greatest(n, F.lit(1))).cast("int")
@@ -491,11 +516,12 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     docs = texts(docs).withColumn("text_key", F.xxhash64("text"))
     parts = partitions(docs)
     keys = staged(set_keys(docs, k), "sets")
-    every = staged(lists(postings(docs, frequencies(docs, k), k, 4 * parts), parts, 4 * parts), "lists")
-    shape = lambda rows, c: staged(keys.where("n_shingles > 0").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(c).alias("sketch")), "shapes")
-    shapes, found, first, links = shape(every, "sketch"), every, None, []
+    every = kept(lists(postings(docs, frequencies(docs, k), k, 4 * parts), parts, 4 * parts), "lists")
+    ends = every.select("node").distinct()
+    shapes = kept(keys.where("n_shingles > 0").join(ends, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "shapes")
+    found, first, links = every, None, []
     for turn in range(TURNS):
-        pairs = staged(stars(found, first, shapes, turn, parts), "pairs")
+        pairs = kept(stars(found, first, shapes, turn, parts), "pairs")
         links.append(verified(pairs, docs, keys, k))
         offered, new = pairs.count(), links[-1].count()
         release(pairs)
@@ -503,12 +529,12 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
             release(first)
             first = components(_all(links))
         if not turn:
-            found = staged(sifted(every, first, shapes, parts), "sifted")
+            found = kept(sifted(every, first, shapes, parts), "sifted")
             release(every, shapes)
-            shapes = shape(found, "wide")
+            shapes = kept(wide_shapes(docs, keys, found.select("node").distinct(), k), "shapes")
         elif 4 * new < offered or not new:
             break
-    pairs = staged(rest(found, first, shapes, parts), "pairs")
+    pairs = kept(rest(found, first, shapes, parts), "pairs")
     links.append(verified(pairs, docs, keys, k))
     labels = components(_all(links))
     release(pairs, found, shapes, first, *links)

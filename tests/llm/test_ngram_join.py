@@ -116,3 +116,44 @@ def test_shared_passages_and_repeated_rows(spark):
     want = brute([r for r in rows if r[0] is not None])
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
     assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted([str(want[7][1]), "None"])
+
+
+def shuffled(spark):
+    """The shuffle files that lie on this machine's disk."""
+    import glob
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+
+def test_shuffle_files_go_as_soon_as_a_table_is_staged(spark):
+    from tessera.sources.stage import CLEANUP, staged
+
+    before, at = spark.conf.get(CLEANUP, None), shuffled(spark)
+    plain = spark.range(20_000).repartition(3)
+    staged(plain, "plain")
+    assert shuffled(spark) - at
+    at = shuffled(spark)
+    out = ngram_join.kept(spark.range(20_000).repartition(5), "rows")
+    assert not shuffled(spark) - at and out.count() == 20_000
+    assert spark.conf.get(CLEANUP, None) == before
+
+
+def test_wide_sketches_only_of_sets_that_are_asked_for(spark):
+    """Before, they were staged with every document."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.llm.arrow import texts
+
+    docs = texts(spark.createDataFrame(near_copies(5, 40), KIND)).withColumn("text_key", F.xxhash64("text"))
+    keys = ngram_join.set_keys(docs)
+    assert "wide" not in keys.columns
+    some = keys.where("doc_id in (3, 60)").select("node").distinct()
+    got = {r.node: bytes(r.sketch) for r in ngram_join.wide_shapes(docs, keys, some, 5).collect()}
+    assert set(got) == {r.node for r in some.collect()}
+    data, at = zip(*[(t.encode(), len(t.encode())) for i, t, *_ in near_copies(5, 40) if i in (3, 60)])
+    doc, s, size = ngram_join.sets(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum(at)]), 5)
+    bits, ends = ngram_join.sketches(doc, s, size, ngram_join.WIDE)
+    node = ngram_join.nodes(doc, s, size)[0].view(np.int64)
+    assert got == {int(n): bits[a:z].tobytes() for n, a, z in zip(node, ends, ends[1:])}
