@@ -312,7 +312,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 close.append(len(set(c)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(close, pa.int64())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"])
 
-    return all_hits.mapInArrow(tidied("decontaminate", run), RESULT)
+    # staged, as a task with two maps keeps two workers, which live on into other operators with caches of their own
+    return staged(all_hits, "hits").mapInArrow(tidied("decontaminate", run), RESULT)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -21,11 +21,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.arrow import keep, texts, tidied
+from tessera.llm.arrow import keep, texts, tidied, trim
 
 MARK = "▁"
 CACHE = 200_000
 LOWEST = float("-inf")
+LOSSY = "!"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -64,6 +65,7 @@ class Bpe:
         self.byte = {i: int(self.piece[i][3:5], 16) for i in range(n) if sp.is_byte(i)}
         self.of_byte = {b: i for i, b in self.byte.items()}
         self.id = {p: i for i, p in enumerate(self.piece) if not self.special[i] and i not in self.byte}
+        self.own = {p: p for p in self.id}
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.unknown = sp.unk_id()
         if sp.normalize("a  b ") != f"{MARK}a{MARK}{MARK}b{MARK}":
@@ -121,7 +123,8 @@ class Bpe:
         if (v := self.pairs.get((a, b))) is None:
             score, heads = self.score, self.edges(b)[0]
             meet = any(x + y in score for x in self.edges(a)[1] for y in heads)
-            v = self.pairs.put((a, b), not meet or self.merge(a + b) == [a, b])
+            # the key keeps the model's own strings, not parts of texts
+            v = self.pairs.put((self.own.get(a, a), self.own.get(b, b)), not meet or self.merge(a + b) == [a, b])
         return v
 
     def pieces(self, s: str) -> list[str]:
@@ -148,7 +151,8 @@ class Bpe:
                 pos -= len(token)
                 last = path[-1] if path else ""
 
-    def _stretch(self, s: str) -> tuple[str, int, str]:
+    def _stretch(self, s: str) -> str:
+        """The ids as text, after LOSSY where they decode to something else than the stretch with spaces for its marks."""
         ids = []
         for p in self.pieces(s):
             i = self.id.get(p)
@@ -158,11 +162,11 @@ class Bpe:
                 ids.extend(self.of_byte[b] for b in p.encode())
             else:
                 ids.append(self.unknown)
-        return ",".join(map(str, ids)), len(ids), self.text(ids)
+        return ("" if self.text(ids) == s.replace(MARK, " ") else LOSSY) + ",".join(map(str, ids))
 
-    def _facts(self, s: str) -> tuple[str, int, str]:
-        """The ids as text, their number, and the decoded stretch. It is cut between characters that stand side by side
-        in no piece; such stretches recur more often than words."""
+    def _facts(self, s: str) -> str:
+        """The same of a stretch that is cut between characters that stand side by side in no piece; such stretches recur
+        more often than words."""
         cuts = [i for i, two in enumerate(zip(s, s[1:]), 1) if two not in self.inside]
         if not cuts:
             return self._stretch(s)
@@ -170,7 +174,7 @@ class Bpe:
         for a, b in zip([0, *cuts], [*cuts, len(s)]):
             t = s[a:b]
             out.append(known.get(t) or known.put(t, self._stretch(t)))
-        return ",".join([p[0] for p in out]), sum([p[1] for p in out]), "".join([p[2] for p in out])
+        return ",".join(out)
 
     def text(self, ids: list[int]) -> str:
         """The text of ids without the removal of the dummy prefix."""
@@ -190,12 +194,12 @@ class Bpe:
             out.append(_utf8(bytes(pending)))
         return "".join(out)
 
-    def _parts(self, text: str) -> list[tuple[str, int, str]]:
+    def _parts(self, text: str) -> list[str]:
         if not text:
             return []
         out, marked, bare = [], self.marked, self.bare
 
-        def slow(w: str) -> tuple[str, int, str]:
+        def slow(w: str) -> str:
             return marked.get(w) or marked.put(w, self._facts(MARK + w))
 
         text = MARK + text.replace(" ", MARK)
@@ -213,7 +217,7 @@ class Bpe:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _, _ in self._parts(text or "") for i in ids.split(",") if i]
+        return [int(i) for ids in self._parts(text or "") for i in ids.replace(LOSSY, "").split(",")]
 
     def decode(self, ids: list[int]) -> str:
         out, control = self.text(ids), self.special
@@ -222,10 +226,14 @@ class Bpe:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        parts = self._parts(text or "")
-        decoded = "".join([p[2] for p in parts])
-        ids = ",".join([p[0] for p in parts])
-        return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()
+        text = text or ""
+        ids = ",".join(self._parts(text))
+        if LOSSY in ids:
+            ids = ids.replace(LOSSY, "")
+            decoded = self.decode([int(i) for i in ids.split(",")])
+        else:  # each stretch decodes to itself
+            decoded = text.replace(MARK, " ")
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def _utf8(b: bytes) -> str:
@@ -268,6 +276,8 @@ def token_digests(docs: DataFrame, model: bytes, cache: int = CACHE) -> DataFram
             rows = [bpe.digest(t.as_py()) for t in b.column(1)]
             n, i, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            del b, rows, n, i, d
+            trim()
 
     return texts(docs).mapInArrow(tidied("sentencepiece", run), SCHEMA)
 

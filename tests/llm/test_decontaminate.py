@@ -103,3 +103,11 @@ def test_empty(spark):
     assert D.contamination(d, b).count() == 0
     (r,) = D.contamination(spark.createDataFrame([(1, "a", 1)], KIND), b).collect()
     assert (r.n_words, r.n_hit, r.contaminated) == (1, 0, False)
+
+
+def test_no_task_needs_two_workers(spark):
+    """Two maps in one task keep two Python workers, which the operators after this one fill as well."""
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "words of"), ("b", "other words")], "item_id string, text string")
+    plan = D.contamination(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1, plan

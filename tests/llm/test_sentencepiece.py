@@ -47,3 +47,21 @@ def test_dataframes(spark, model):
     back = {r.doc_id: r.text for r in S.decode(S.encode(df, model), model).collect()}
     assert back == {i: lib.decode(lib.encode(s or "")) for i, s, _ in rows}
     assert S.token_digests(df.limit(0), model).count() == 0
+
+
+def test_caches_are_compact(model):
+    import tracemalloc
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(6000)]
+    bpe = S.Bpe(model, 50_000)
+    tracemalloc.start()
+    bpe.digest(" ".join(words))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 7_000_000, kept  # 8.3 MB with tuples and decoded texts
+    # what decodes to other text than it came from, cached or not
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    for s in ["▁ a▁b", "! !", "▁", " ▁", "x!y ▁!", "▁ a▁b"]:
+        ids = lib.encode(s)
+        assert bpe.digest(s) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
